@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import distinct, frequent, quantiles
+from freshet.llm import distinct, frequent, leaks, packing, quantiles
 from freshet.util import has_time, table
 
 DAY_MS = 86_400_000
@@ -118,8 +118,48 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sure.unionByName(proven).select("exporter_id", day_text(F.col("day")).alias("rec_day"), "field")
 
 
+# --- 8: filling containers
+
+
+def p8_assign(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", packing.token_count(F.col("text")).alias("tokens"))
+    return packing.assign(docs, "doc_id", "tokens", table(spark, d, "containers"), "container_class", "capacity_tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_assign(spark, d), table(spark, d, "containers"), "container_class", "capacity_tokens")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose parts lie in more than one container: those that alone exceed the capacity."""
+    lies = p8_assign(spark, d).groupBy("container_class", "doc_id").agg(F.count_distinct("container_id").alias("n"))
+    return lies.where("n > 1").select("container_class", "doc_id")
+
+
+# --- 9: leaked evaluation items
+
+
+def _sides(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage"
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(*_sides(spark, d))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_spans(*_sides(spark, d))
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All documents without the leaked spans: doc_id, n_chars before and after, and a hash of what is left."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("chars_before"))
+    x = leaks.without_spans(docs, "doc_id", "text", p9_spans(spark, d))
+    return x.select("doc_id", "chars_before", F.length("text").alias("chars_after"), F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_intervals, p6_found, p6_counts)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_intervals, p6_found, p6_counts, p8_found, p8_assign, p8_fill, p9_found, p9_spans, p9_cleaned)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -130,4 +170,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": "select 'srcaddr' kind, srcaddr item from v1_records where srcaddr is not null group by 2 having 100 * count(*) >= (select count(*) from v1_records) union all select 'dstaddr', dstaddr from v1_records where dstaddr is not null group by 2 having 100 * count(*) >= (select count(*) from v1_records) union all select 'dstaddr_octets', dstaddr from v1_records where dstaddr is not null group by 2 having 100 * sum(doctets) >= (select sum(doctets) from v1_records)",
         "p6_found": f"with r as (select exporter_id, {day.format('received_ms')} rec_day, srcaddr, dstaddr from v1_records where received_ms is not null), b as (select * from r union all select 0, rec_day, srcaddr, dstaddr from r) "
         + " union all ".join(f"select exporter_id, rec_day, '{f}' field from b group by exporter_id, rec_day having count(*) >= {MIN_ROWS} and 2 * count(distinct {f}) >= count(*)" for f in FIELDS),
+        "p8_found": "select container_class, doc_id from documents, containers where text is not null and strlen(text) + 1 > capacity_tokens",
     }
