@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import distinct, frequent, leaks, packing, quantiles
+from freshet.llm import distinct, frequent, langid, leaks, packing, quantiles
 from freshet.util import has_time, table
 
 DAY_MS = 86_400_000
@@ -158,8 +158,29 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "chars_before", F.length("text").alias("chars_after"), F.md5("text").alias("text_md5"))
 
 
+# --- 10: languages
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """All segments of all documents, with confidence."""
+    docs = table(spark, d, "documents")
+    model = langid.fit(langid.sample(docs, "doc_id", "text", "lang"))
+    return langid.segments(docs, "doc_id", "text", "lang", model)
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Main language of each document, whether its label is missing or wrong, and the confidence of the main language's segments."""
+    s = p10_segments(spark, d).where("lang = main_lang").groupBy("doc_id", "lang", "named", "n_langs").agg((F.sum(F.col("confidence") * F.col("n_chars")) / F.sum("n_chars")).alias("confidence"))
+    verdict = F.when(F.col("named").isNull(), "missing").when(F.col("named") != F.col("lang"), "wrong").otherwise("right")
+    return s.select("doc_id", "lang", "n_langs", "confidence", verdict.alias("label"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_segments(spark, d).where("n_langs > 1 or named is null or named <> main_lang").select("doc_id", "segment_no", "lang")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_intervals, p6_found, p6_counts, p8_found, p8_assign, p8_fill, p9_found, p9_spans, p9_cleaned)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_intervals, p6_found, p6_counts, p8_found, p8_assign, p8_fill, p9_found, p9_spans, p9_cleaned, p10_found, p10_segments, p10_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
