@@ -144,7 +144,7 @@ def ident_of(flows: DataFrame, router: str, fixed: dict[str, str]) -> DataFrame:
     dashes for dots and colons."""
     from freshet.functions import ip
 
-    rules = sorted(((ip.prefix_range(*((p.split("/")[0], int(p.split("/")[1])) if "/" in p else (p, 32))), name) for p, name in fixed.items()), key=lambda r: r[0][1] - r[0][2])
+    rules = sorted(((ip.prefix_range(*((p.split("/")[0], int(p.split("/")[1])) if "/" in p else (p, 32))), name) for p, name in fixed.items()), key=lambda r: r[0][2] - r[0][1])
     c = F.col(router)
     out = F.regexp_replace(ip.text4(c), r"[.:]", "-")
     for (_, low, high), name in reversed(rules):

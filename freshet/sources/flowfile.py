@@ -24,7 +24,25 @@ from freshet.schema import SCHEMA
 # File format.
 MAGIC, LAYOUT = 0xA50C, 2
 NONE, LZO, BZ2, LZ4, ZSTD = range(5)
-FILE_HEADER, BLOCK_HEADER, RECORD_HEADER, ELEMENT_HEADER = struct.Struct("<HHIqBBHIqII"), struct.Struct("<IIHH"), struct.Struct("<HHHBBHBB"), struct.Struct("<HH")
+
+
+class _Layout:
+    """A compiled layout that can be sent to workers."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.size = text, struct.calcsize(text)
+
+    def pack(self, *values) -> bytes:
+        return struct.pack(self.text, *values)
+
+    def unpack(self, b: bytes) -> tuple:
+        return struct.unpack(self.text, b)
+
+    def unpack_from(self, b: bytes, at: int = 0) -> tuple:
+        return struct.unpack_from(self.text, b, at)
+
+
+FILE_HEADER, BLOCK_HEADER, RECORD_HEADER, ELEMENT_HEADER = _Layout("<HHIqBBHIqII"), _Layout("<IIHH"), _Layout("<HHHBBHBB"), _Layout("<HH")
 RECORD_BLOCK, FLOW_RECORD, IDENT_RECORD, STAT_RECORD = 3, 11, 0x8001, 0x8002
 BLOCK_UNCOMPRESSED = 1
 # Extension number, layout, columns. Two Q in a row named once are an IPv6 address (upper, lower half); x columns are read over.

@@ -285,7 +285,8 @@ class Assembler:
 
 def _pair() -> Column:
     """The same for both directions of a conversation."""
-    a, b = F.struct("src4", "src6", "src_port"), F.struct("dst4", "dst6", "dst_port")
+    end = lambda side: F.struct(*[F.col(f"{side}{n}").alias(n) for n in ("4", "6", "_port")])
+    a, b = end("src"), end("dst")
     return F.xxhash64(F.least(a, b), F.greatest(a, b), "proto")
 
 
