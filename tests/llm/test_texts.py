@@ -168,6 +168,6 @@ def test_untrained_model_and_long_line():
     old = langid.BATCH_WORDS
     langid.BATCH_WORDS = 50
     try:
-        assert abs(model.posteriors([model.ids(["a"] * 1000)]).sum() - 1000) < 1e-6
+        assert abs(model.posteriors([model.ids(["a"] * 1000)]).sum() - 1000) < 0.01
     finally:
         langid.BATCH_WORDS = old
