@@ -91,9 +91,11 @@ def line_protocol(totals: DataFrame, measurement: str, tags: list[str]) -> DataF
 
 def sequence_gaps(packets: DataFrame, source: str, sequence: str, count: str, order: str, modulus: int = 2**32) -> DataFrame:
     """source, packets, failures, lost: a packet whose sequence number isn't the last one plus what the last packet held is a failure."""
-    w = Window.partitionBy(source).orderBy(order)
-    expected = F.pmod(F.lag(sequence).over(w) + F.lag(count).over(w), F.lit(modulus))
-    x = packets.select(source, F.col(sequence).alias("s"), expected.alias("e"))
-    gap = F.when(F.col("e").isNotNull(), F.pmod(F.col("s") - F.col("e"), F.lit(modulus)))
+    x = packets.select(F.col(source).alias("_src"), F.col(sequence).alias("_s"), F.col(count).alias("_n"), F.col(order).alias("_o"))
+    w = Window.partitionBy("_src").orderBy("_o")
+    expected = F.pmod(F.lag("_s").over(w) + F.lag("_n").over(w), F.lit(modulus))
+    x = x.select("_src", "_s", expected.alias("_e"))
+    gap = F.when(F.col("_e").isNotNull(), F.pmod(F.col("_s") - F.col("_e"), F.lit(modulus)))
     ahead = (gap > 0) & (gap < modulus // 2)
-    return x.groupBy(source).agg(F.count(F.lit(1)).alias("packets"), F.count_if(gap != 0).alias("failures"), F.coalesce(F.sum(F.when(ahead, gap)), F.lit(0).cast("long")).alias("lost"))
+    g = x.groupBy("_src").agg(F.count(F.lit(1)).alias("packets"), F.count_if(gap != 0).alias("failures"), F.coalesce(F.sum(F.when(ahead, gap)), F.lit(0).cast("long")).alias("lost"))
+    return g.withColumnRenamed("_src", source)

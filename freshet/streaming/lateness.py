@@ -42,7 +42,7 @@ def corrected_periods(stream: DataFrame, source: str, event: str, arrival: str,
             late += int((f["c"] == "late").sum())
             dropped += len(f) - len(kept)
         state.update((rev + 1, n, p, b, late, dropped))
-        ends = key[1] + length + cutoff
+        ends = int(key[1]) + length + cutoff
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], key[1], rev + 1, n, p, b, late, dropped)], columns=[c.split()[0] for c in OUT.split(", ")])
 
