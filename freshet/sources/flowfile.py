@@ -16,7 +16,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from freshet.schema import SCHEMA
@@ -394,6 +394,43 @@ class FlowFileSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FlowFileReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return FlowFileWriter(self.options, schema)
+
+
+class FlowFileWriter(DataSourceWriter):
+    """One file per task, written under a hidden name and renamed when the job commits. Options: path, ident, packing (none, bz2, zstd)."""
+
+    def __init__(self, options: dict, schema) -> None:
+        self.root, self.ident = options["path"], options.get("ident", "")
+        self.packing = {"none": NONE, "bz2": BZ2, "zstd": ZSTD}[options.get("packing", "zstd")]
+        self.names = schema.names
+        Path(self.root).mkdir(parents=True, exist_ok=True)
+
+    def write(self, iterator) -> WriterCommitMessage:
+        import uuid
+
+        name = f".part-{uuid.uuid4().hex}"
+        rows = [dict(zip(self.names, r)) for r in iterator]  # a task's rows make one file
+        if rows:
+            write_file(str(Path(self.root) / name), rows, self.ident, self.packing)
+        return _Written(name if rows else None)
+
+    def commit(self, messages) -> None:
+        for m in messages:
+            if m is not None and m.name:
+                (Path(self.root) / m.name).rename(Path(self.root) / m.name[1:])
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None and m.name:
+                (Path(self.root) / m.name).unlink(missing_ok=True)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str | None) -> None:
+        self.name = name
+
 
 def verify(path: str) -> dict:
     """Blocks and records of a file, and how many blocks are corrupt."""

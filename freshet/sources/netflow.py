@@ -407,3 +407,139 @@ def replay(flows: DataFrame, host: str, port: int, version: int = 5, per_packet:
     flows.select(*cols).foreachPartition(send)
 
 
+
+
+# --- other carriers of the same records
+
+RAW_VERSION = 250
+
+
+def decode_raw(packet: bytes, received_ms: int | None = None) -> list[dict]:
+    """Native packets: a header of 12 bytes (version, length, number of records, sequence), then records as they are in flow files."""
+    from freshet.sources.flowfile import FLOW_RECORD, Corrupt, decode_record
+
+    if len(packet) < 12:
+        return []
+    version, _, n = struct.unpack_from(">HHI", packet)
+    out, i = [], 12
+    while version == RAW_VERSION and len(out) < n and i + 4 <= len(packet):
+        kind, size = struct.unpack_from("<HH", packet, i)
+        if size < 4 or i + size > len(packet):
+            break
+        if kind == FLOW_RECORD:
+            try:
+                r = decode_record(packet, i, size)
+            except (Corrupt, struct.error):
+                break
+            out.append(r | {"received_ms": r.get("received_ms") or received_ms})
+        i += size
+    return out
+
+
+def encode_raw(rows: list[dict], sequence: int = 0) -> bytes:
+    from freshet.sources.flowfile import encode_record
+
+    body = b"".join(encode_record(r) for r in rows)
+    return struct.pack(">HHII", RAW_VERSION, 12 + len(body), len(rows), sequence) + body
+
+
+def decode_raw_packets(packets: DataFrame) -> DataFrame:
+    """Rows (exporter_id, received_ms, payload) of native packets to flow records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for t, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if p for r in decode_raw(p, t)]
+            if rows:
+                yield rows_to_batch(rows)
+
+    return packets.select("exporter_id", "received_ms", "payload").mapInArrow(run, FLOW_SCHEMA)
+
+
+def captured_packets(packets: DataFrame, port: int | None = None) -> DataFrame:
+    """Exporter packets out of a capture (see pcap.packets): the UDP payloads, all or those to one port; IPv4 senders are the exporters."""
+    x = packets.where("proto = 17 and payload is not null and frag_offset = 0")
+    if port is not None:
+        x = x.where(F.col("dst_port") == port)
+    # addresses above 2^31 don't fit the id as they are
+    sender = F.when(F.col("src4") >= 2**31, F.col("src4") - 2**32).otherwise(F.col("src4")).cast("int")
+    return x.select(sender.alias("exporter_id"), F.floor(F.col("ts_us") / 1000).alias("received_ms"), "payload")
+
+
+def read_ipfix_files(spark, path: str) -> DataFrame:
+    """Files of IPFIX messages one after the other, as meters write them: each file is decoded in order, with its own templates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                decoders: dict[int, TemplateDecoder] = {}
+                i, rows = 0, []
+                while i + 16 <= len(data):
+                    version, size, _, _, domain = struct.unpack_from(">HHIII", data, i)
+                    if version != 10 or size < 16:
+                        break
+                    rows += decoders.setdefault(domain, TemplateDecoder()).packet(data[i : i + size])
+                    i += size
+                    if len(rows) >= 5000:
+                        yield rows_to_batch(rows)
+                        rows = []
+                if rows:
+                    yield rows_to_batch(rows)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, FLOW_SCHEMA)
+
+
+# Option records that name things: kind, element of the number, element of the name.
+NAMES = {"interface": ((10, 14, 252), (82, 83)), "application": ((95,), (96,)), "vrf": ((234, 235), (236,))}
+
+
+def decode_names(packets: DataFrame) -> DataFrame:
+    """(exporter_id, kind, id, name) from the option records of version 9 and IPFIX packets; numbers of applications as hex."""
+    schema = "exporter_id int, kind string, id string, name string"
+
+    class Names(TemplateDecoder):
+        def __init__(self) -> None:
+            super().__init__()
+            self.found: list[tuple] = []
+
+        def _records(self, b, tid, base, secs, uptime, depth=0):
+            options, fields = self.templates[tid]
+            if not options:
+                return []
+            i = 0
+            least = sum(1 if n == 0xFFFF else n for _, n, _ in fields)
+            while least and i + least <= len(b):
+                got = {}
+                for element, length, _ in fields:
+                    v, i = self._field(b, i, length)
+                    got[element if element >= 0 else {1: 252, 2: 10}.get(-1 - element, element)] = v
+                for kind, (ids, names) in NAMES.items():
+                    number, name = next((got[e] for e in ids if e in got), None), next((got[e] for e in names if e in got), None)
+                    if number is not None and name is not None:
+                        text = number.hex() if kind == "application" else str(int.from_bytes(number, "big"))
+                        self.found.append((kind, text, name.split(b"\0")[0].decode("utf-8", "replace")))
+            return []
+
+    x = packets.select("exporter_id", "received_ms", "payload", F.hex(_domain(F.col("payload"))).alias("d")).where("payload is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, decoder = None, Names()
+        for b in batches:
+            out: list[tuple] = []
+            for e, t, p, d in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (e, d) != key:
+                    key, decoder = (e, d), Names()
+                decoder.packet(p, t, e)
+                out += [(e, *f) for f in decoder.found]
+                decoder.found = []
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=["exporter_id", "kind", "id", "name"])
+
+    return x.repartition("exporter_id", "d").sortWithinPartitions("exporter_id", "d", "received_ms").mapInArrow(run, schema).distinct()
+
+
+def packet_sequences(packets: DataFrame) -> DataFrame:
+    """(exporter_id, received_ms, sequence, n_flows) of version 5 and 7 packets, for summary.sequence_gaps(): their sequence counts flows."""
+    u = lambda at, n: F.conv(F.hex(F.substring("payload", at, n)), 16, 10).cast("long")
+    x = packets.where(F.substring("payload", 1, 2).isin(b"\x00\x05", b"\x00\x07"))
+    return x.select("exporter_id", "received_ms", u(17, 4).alias("sequence"), u(3, 2).alias("n_flows"))
