@@ -59,7 +59,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     p = quantiles.percentiles(s, keys, [50, 90]).join(levels, ["exporter_id", "metric", "pct"])
     sure = p.where("lower > level_value").select(*keys, "pct")
     open_ = p.where("lower <= level_value and upper > level_value").select(*keys, "pct", "n", "level_value")
-    counted = x.join(open_, keys).groupBy(*keys, "pct", "n", "level_value").agg(F.count_if(F.col("value") <= F.col("level_value")).alias("below"))
+    # as many rows as pct_levels has for each day at most: a fixed table times the days, whatever the number of flows
+    counted = x.join(F.broadcast(open_), keys).groupBy(*keys, "pct", "n", "level_value").agg(F.count_if(F.col("value") <= F.col("level_value")).alias("below"))
     proven = counted.where(F.col("below") < F.ceil(F.col("pct") * F.col("n") / 100)).select(*keys, "pct")
     return sure.unionByName(proven).select("exporter_id", day_text(F.col("day")).alias("flow_day"), _metric_name(F.col("metric")).alias("metric"), "pct")
 
