@@ -111,10 +111,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     parts = distinct.build(x, keys, FIELDS)
     both = parts.select(F.explode(F.array(F.col("exporter_id"), F.lit(0))).alias("exporter_id"), "day", "field", "level", "word", "mask", "n_rows")
     e = distinct.bounded(distinct.estimate(distinct.merge(both, keys), keys)).where(F.col("n_rows") >= MIN_ROWS)
+    # said here so that both uses below have one plan, and the bitmaps are made once
+    e = e.where("exporter_id is not null and day is not null and field is not null")
     sure = e.where(F.col("lower") * 2 >= F.col("n_rows")).select(*keys, "field")
     open_ = e.where((F.col("lower") * 2 < F.col("n_rows")) & (F.col("upper") * 2 >= F.col("n_rows"))).select(*keys, "field", "n_rows")
     values = x.select(F.explode(F.array(F.col("exporter_id"), F.lit(0))).alias("exporter_id"), "day", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])).alias("x")).select(*keys, "x.*")
-    exact = values.where("value is not null").join(open_, [*keys, "field"]).select(*keys, "field", "n_rows", "value").distinct().groupBy(*keys, "field", "n_rows").count()
+    # at most one row per exporter (a fixed table), day and field, whatever the number of records
+    exact = values.where("value is not null").join(F.broadcast(open_), [*keys, "field"]).select(*keys, "field", "n_rows", "value").distinct().groupBy(*keys, "field", "n_rows").count()
     proven = exact.where(F.col("count") * 2 >= F.col("n_rows")).select(*keys, "field")
     return sure.unionByName(proven).select("exporter_id", day_text(F.col("day")).alias("rec_day"), "field")
 
