@@ -89,13 +89,20 @@ def line_protocol(totals: DataFrame, measurement: str, tags: list[str]) -> DataF
     return totals.select(F.concat_ws(" ", head, body, (F.col("slot_ms") * 1_000_000).cast("string")).alias("value"))
 
 
-def sequence_gaps(packets: DataFrame, source: str, sequence: str, count: str, order: str, modulus: int = 2**32) -> DataFrame:
-    """source, packets, failures, lost: a packet whose sequence number isn't the last one plus what the last packet held is a failure."""
-    x = packets.select(F.col(source).alias("_src"), F.col(sequence).alias("_s"), F.col(count).alias("_n"), F.col(order).alias("_o"))
-    w = Window.partitionBy("_src").orderBy("_o")
-    expected = F.pmod(F.lag("_s").over(w) + F.lag("_n").over(w), F.lit(modulus))
-    x = x.select("_src", "_s", expected.alias("_e"))
-    gap = F.when(F.col("_e").isNotNull(), F.pmod(F.col("_s") - F.col("_e"), F.lit(modulus)))
+def sequence_gaps(packets: DataFrame, source: str, sequence: str, count: str, order: str, modulus: int = 2**32, slot: int = SLOT_MS) -> DataFrame:
+    """source, packets, failures, lost: a packet whose sequence number isn't the last one plus what the last packet held is a failure.
+
+    Packets are compared with the one before within slots of `order`, and first packets of slots with the last one of the slot before:
+    a window holds one slot of a source, or one row per slot, never all packets of a source. Packets at the same time are taken by
+    their sequence number.
+    """
+    x = packets.select(F.col(source).alias("_src"), F.floor(F.col(order) / slot).alias("_slot"), F.col(sequence).alias("_s"), F.col(count).alias("_n"), F.struct(F.col(order).alias("o"), F.col(sequence).alias("s")).alias("_o"))
+    last = F.struct("_s", "_n")
+    inside = x.select("_src", "_s", F.lag(last).over(Window.partitionBy("_src", "_slot").orderBy("_o")).alias("_p"))
+    ends = x.groupBy("_src", "_slot").agg(F.min_by("_s", "_o").alias("_s"), F.max_by(last, "_o").alias("_l"), F.count(F.lit(1)).alias("_k"))
+    between = ends.select("_src", "_s", F.lag("_l").over(Window.partitionBy("_src").orderBy("_slot")).alias("_p"), "_k")
+    steps = inside.where("_p is not null").withColumn("_k", F.lit(0).cast("long")).unionByName(between)
+    gap = F.when(F.col("_p").isNotNull(), F.pmod(F.col("_s") - F.col("_p._s") - F.col("_p._n"), F.lit(modulus)))
     ahead = (gap > 0) & (gap < modulus // 2)
-    g = x.groupBy("_src").agg(F.count(F.lit(1)).alias("packets"), F.count_if(gap != 0).alias("failures"), F.coalesce(F.sum(F.when(ahead, gap)), F.lit(0).cast("long")).alias("lost"))
+    g = steps.groupBy("_src").agg(F.sum("_k").alias("packets"), F.count_if(gap != 0).alias("failures"), F.coalesce(F.sum(F.when(ahead, gap)), F.lit(0).cast("long")).alias("lost"))
     return g.withColumnRenamed("_src", source)

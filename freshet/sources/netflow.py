@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -311,26 +311,76 @@ def _domain(payload):
     return F.substring(payload, at, F.lit(4))
 
 
+CHUNK_MS = 300_000
+
+
+def _template_sets(data: bytes) -> list[tuple[int, bytes]]:
+    """(template number, a packet that holds just this template) for each template that a packet defines."""
+    out: list[tuple[int, bytes]] = []
+    try:
+        (version,) = struct.unpack_from(">H", data)
+        at, ids = (20, (0, 1)) if version == 9 else (16, (2, 3))
+        while at + 4 <= len(data):
+            kind, size = struct.unpack_from(">HH", data, at)
+            if size < 4:
+                break
+            if kind in ids:
+                d = TemplateDecoder()
+                d._templates(data[at + 4 : at + size], version, kind == ids[1])
+                head = data[:20] if version == 9 else data[:2] + struct.pack(">H", 16 + size) + data[4:16]
+                out += [(tid, head + data[at : at + size]) for tid in d.templates]
+            at += size
+    except (struct.error, IndexError):
+        pass
+    return out
+
+
+def _with_templates(x: DataFrame) -> DataFrame:
+    """Splits each stream of packets into chunks of time that can be decoded apart: every chunk begins with the templates that were known by
+    then. Only template sets are looked at for that: few rows, copied to the chunks up to their next definition."""
+    schema = "exporter_id int, d string, received_ms long, tid int, payload binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(e, d, t, tid, p) for e, t, data, d in zip(*(b.column(i).to_pylist() for i in range(4))) for tid, p in _template_sets(data)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["exporter_id", "d", "received_ms", "tid", "payload"])
+
+    chunk = F.floor(F.col("received_ms") / CHUNK_MS)
+    sets = x.select("exporter_id", "received_ms", "payload", "d").mapInArrow(run, schema).withColumn("chunk", chunk)
+    # the last definition within a chunk is what later chunks begin with
+    last = sets.groupBy("exporter_id", "d", "tid", "chunk").agg(F.max_by("payload", "received_ms").alias("payload"))
+    ends = x.groupBy("exporter_id", "d").agg(F.max(chunk).alias("end"))
+    w = Window.partitionBy("exporter_id", "d", "tid").orderBy("chunk")
+    known = last.withColumn("next", F.lead("chunk").over(w)).join(ends, ["exporter_id", "d"])
+    until = F.coalesce(F.col("next"), F.col("end"))
+    copies = known.where(until > F.col("chunk")).select("exporter_id", F.lit(None).cast("long").alias("received_ms"), "payload", "d", F.explode(F.sequence(F.col("chunk") + 1, until)).alias("chunk"))
+    return x.select("exporter_id", "received_ms", "payload", "d", chunk.alias("chunk")).unionByName(copies)
+
+
 def decode_template_packets(packets: DataFrame) -> DataFrame:
-    """Rows of version 9 and 10 to flow records: in order of arrival per exporter and domain, batch by batch with the templates kept.
+    """Rows of version 9 and 10 to flow records, in order of arrival per exporter and domain, with the templates as state.
 
-    One stream of packets is decoded in one task, because its templates come in order; streams spread over all tasks. Records whose
-    template hasn't come yet are lost, as they are on the wire.
+    A stream is decoded in chunks of CHUNK_MS, each with the templates known at its start, so that one exporter's packets spread over
+    many tasks. Records whose template hasn't come yet are lost, as they are on the wire. Packets without an arrival time are left out.
+    Samplers that options tell of hold within their chunk; use enrich.sampling() for lasting ones.
     """
-    x = packets.select("exporter_id", "received_ms", "payload", F.hex(_domain(F.col("payload"))).alias("d")).where("payload is not null")
+    x = packets.select("exporter_id", "received_ms", "payload", F.hex(_domain(F.col("payload"))).alias("d")).where("payload is not null and received_ms is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, decoder = None, TemplateDecoder()
         for b in batches:
             rows: list[dict] = []
-            for e, t, p, d in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (e, d) != key:
-                    key, decoder = (e, d), TemplateDecoder()
+            for e, t, p, d, c in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if (e, d, c) != key:
+                    key, decoder = (e, d, c), TemplateDecoder()
                 rows += decoder.packet(p, t, e)
             if rows:
                 yield rows_to_batch(rows)
 
-    return x.repartition("exporter_id", "d").sortWithinPartitions("exporter_id", "d", "received_ms").mapInArrow(run, FLOW_SCHEMA)
+    chunks = _with_templates(x)
+    # copies of templates have no time and come first
+    return chunks.repartition("exporter_id", "d", "chunk").sortWithinPartitions("exporter_id", "d", "chunk", "received_ms").mapInArrow(run, FLOW_SCHEMA)
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:

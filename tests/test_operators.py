@@ -100,7 +100,8 @@ def test_rolling_day(spark):
 
 def test_sequence_gaps(spark):
     p = spark.createDataFrame([(1, 0, 10, 1), (1, 10, 5, 2), (1, 18, 5, 3), (1, 20, 5, 4), (2, 2**32 - 3, 5, 1), (2, 2, 1, 2)], "e int, s long, n long, t long")
-    assert sorted(map(tuple, summary.sequence_gaps(p, "e", "s", "n", "t").collect())) == [(1, 4, 2, 3), (2, 2, 0, 0)]
+    for slot in (1, 2, 300_000):
+        assert sorted(map(tuple, summary.sequence_gaps(p, "e", "s", "n", "t", slot=slot).collect())) == [(1, 4, 2, 3), (2, 2, 0, 0)]
 
 
 def test_lookups(spark):

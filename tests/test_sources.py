@@ -78,6 +78,14 @@ def test_packets_of_all_versions(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 10), (1, 5, 20), (2, 9, 30), (2, 9, 40)]
 
 
+def test_templates_reach_later_chunks(spark):
+    far = 10 * netflow.CHUNK_MS
+    whole, bare = netflow.encode_v9([FLOW]), netflow.encode_v9([FLOW], with_template=False)
+    rows = [(2, 5, bare), (2, 30, whole), (2, far, bare), (2, 2 * far, bare), (2, 2 * far + 1, whole), (2, 3 * far, bare), (4, far, bare)]
+    got = netflow.decode_packets(spark.createDataFrame(rows, netflow.PACKET)).select("exporter_id", "received_ms", "in_bytes").collect()
+    assert sorted(map(tuple, got)) == [(2, t, 900) for t in (30, far, 2 * far, 2 * far + 1, 3 * far)]
+
+
 def ether(ip, vlan=None):
     return bytes(range(12)) + (struct.pack(">HH", 0x8100, vlan) if vlan else b"") + struct.pack(">H", 0x0800 if ip[0] >> 4 == 4 else 0x86DD) + ip
 
