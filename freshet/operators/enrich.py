@@ -122,3 +122,16 @@ def uptime_to_ms(sys_uptime: Column, unix_ms: Column, uptime: Column) -> Column:
     back = F.pmod(sys_uptime - uptime, F.lit(2**32))
     signed = F.when(back >= 2**31, back - 2**32).otherwise(back)
     return unix_ms - signed
+
+
+def whois(spark, addresses: list[str], blocks4: DataFrame | None = None, locations: DataFrame | None = None, as4: DataFrame | None = None, exits: DataFrame | None = None) -> DataFrame:
+    """What the dimension tables know of IPv4 addresses given as text: ip, and country, asn, org and known exit node where their tables are given."""
+    df = spark.createDataFrame([(a, ip.parse(a)[1]) for a in addresses], "ip string, _a long")
+    if blocks4 is not None and locations is not None:
+        df = geo(df, "_a", blocks4, locations, "country")
+    if as4 is not None:
+        df = longest_prefix(df, "_a", as4, {c: c for c in ("asn", "org") if c in as4.columns})
+    if exits is not None:
+        known = exits.select(F.col("ip").alias("_ip"), F.col("intervals").alias("exit_intervals"))
+        df = df.join(known, df["_a"] == known["_ip"], "left").drop("_ip")
+    return df.drop("_a")

@@ -428,19 +428,28 @@ def encode_v9(rows: list[dict], sequence: int = 0, uptime: int = 3_600_000, unix
     return struct.pack(">HHIIII", 9, len(rows) + with_template, uptime, unix_ms // 1000, sequence, domain) + body
 
 
-def replay(flows: DataFrame, host: str, port: int, version: int = 5, per_packet: int = 24, delay_s: float = 0.0) -> None:
-    """Sends flows as packets over UDP, each partition on its own."""
+def replay(flows: DataFrame, host: str, port: int, version: int = 5, per_packet: int = 24, delay_s: float = 0.0, speed: float | None = None) -> None:
+    """Sends flows as packets over UDP, each partition on its own: versions 5, 9, or 250 for native records.
+
+    `delay_s` is a pause after each packet; with `speed` packets keep the distances of the flows' first times, divided by speed.
+    """
     cols = [c for c in FLOW_COLUMNS if c in flows.columns]
-    encode = encode_v5 if version == 5 else encode_v9
+    encode = {5: encode_v5, 9: encode_v9, RAW_VERSION: encode_raw}[version]
+    if speed:
+        flows = flows.sortWithinPartitions("first_ms")
 
     def send(rows) -> None:
         import socket
         import time
 
         with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
-            held, sequence = [], 0
+            held, sequence, began, zero = [], 0, time.monotonic(), None
 
             def flush() -> None:
+                nonlocal zero
+                if speed and held[0].get("first_ms"):
+                    zero = zero or held[0]["first_ms"]
+                    time.sleep(max(0.0, began + (held[0]["first_ms"] - zero) / 1000 / speed - time.monotonic()))
                 s.sendto(encode(held, sequence), (host, port))
                 if delay_s:
                     time.sleep(delay_s)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,28 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is configured (tests, a single machine) a temporary one."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = getattr(checkpoint_dir, "_own", None) or tempfile.mkdtemp(prefix="freshet-checkpoint-")
-        checkpoint_dir._own = where
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Truncates the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def has_time(first: Column, last: Column) -> Column:
     """A flow has a time if neither bound is NULL or 0."""
     return first.isNotNull() & last.isNotNull() & (first != 0) & (last != 0)
-
-
-def local_cores() -> int:
-    return os.cpu_count() or 1

@@ -82,3 +82,25 @@ def test_replay(spark):
         s.settimeout(10)
         netflow.replay(spark.createDataFrame([tuple(FLOW.values())] * 3, list(FLOW)).coalesce(1), "127.0.0.1", s.getsockname()[1], 9)
         assert len(netflow.TemplateDecoder().packet(s.recv(65535))) == 3
+        netflow.replay(spark.createDataFrame([tuple(FLOW.values())], list(FLOW)).coalesce(1), "127.0.0.1", s.getsockname()[1], 250, speed=100.0)
+        assert len(netflow.decode_raw(s.recv(65535))) == 1
+
+
+def test_collector(spark, tmp_path):
+    import socket
+    import time
+
+    from freshet.sources import udp as collector
+
+    with collector.Collector(str(tmp_path / "spool"), "127.0.0.1", 0, {"127.0.0.0/8": 7}, every_s=0.5) as c, socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        for p in (netflow.encode_v5([FLOW]), netflow.encode_v9([FLOW]), netflow.encode_raw([FLOW]), b"noise"):
+            s.sendto(p, ("127.0.0.1", c.port))
+        time.sleep(1.0)
+    got = []
+    start = collector.decoded(collector.stream(spark, str(tmp_path / "spool")))
+    start(lambda df, batch: got.extend(df.select("exporter_id", "nf_version", "in_bytes").collect()), str(tmp_path / "cp"), None).awaitTermination()
+    assert sorted((r.nf_version, r.in_bytes) for r in got) == [(0, 900), (5, 900), (9, 900)]
+    with collector.Collector(str(tmp_path / "other"), "127.0.0.1", 0, unknown=None, every_s=0.2) as c, socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.sendto(b"x", ("127.0.0.1", c.port))
+        time.sleep(0.5)
+    assert not list((tmp_path / "other").iterdir())

@@ -115,6 +115,8 @@ def test_lookups(spark):
     g = spark.createDataFrame([(bytes.fromhex("20010db8") + bytes(12),), (bytes.fromhex("20010db890") + bytes(11),), (bytes(16),), (None,)], "src6 binary")
     assert sorted((x.loc or 0) for x in enrich.longest_prefix(g, "src6", six, {"location_id": "loc"}, family=6).collect()) == [0, 0, 5, 6]
     assert enrich.longest_prefix(f, "src4", b.limit(0), {"location_id": "loc"}).where("loc is not null").count() == 0
+    w = enrich.whois(spark, ["10.1.0.9", "11.0.0.1"], b, places, b.select("net_start", "prefix_len", F.col("location_id").alias("asn"), F.lit("Org").alias("org")), spark.createDataFrame([(0x0A010009, [])], "ip long, intervals array<struct<first: long, last: long>>"))
+    assert sorted((r.ip, r.country, r.asn, r.exit_intervals is not None) for r in w.collect()) == [("10.1.0.9", "BB", 2, True), ("11.0.0.1", "..", None, False)]
     orgs = spark.createDataFrame([(1, "One"), (1, "Uno")], "asn long, org string")
     assert sorted(r.o for r in enrich.as_organisation(f, "src_as", orgs, "o").collect()) == ["One", "not found", "not found", "not found"]
 
