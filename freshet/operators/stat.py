@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import ip
 from freshet.functions.rates import div, weight
-from freshet.schema import field
+from freshet.schema import COLUMNS, field
 
 # name: kind and source columns. Numbers that are missing count under 0, other kinds are left out.
 ELEMENTS = {
@@ -63,31 +63,41 @@ def parse_request(text: str) -> Request:
     return Request(name, split == "p", tuple(out))
 
 
-def _sources(df: DataFrame, name: str) -> list[Column]:
-    """Keys of a record as text, one per source; NULL where it has none. Numbers are digits, so all statistics fit one column."""
+def _sources(df: DataFrame, name: str) -> list[tuple[Column, Column]]:
+    """Keys of a record, one (number, text) pair per source, both NULL where it has none. Numbers, IPv4 and MAC addresses stay numbers until
+    they are aggregated; IPv6 addresses are hex until they are shown."""
     kind, names = ELEMENTS[name]
+    no_number, no_text = F.lit(None).cast("long"), F.lit(None).cast("string")
     if kind == "mpls":
-        return [F.coalesce(F.shiftright(F.get(field(df, "mpls"), F.lit(int(names[0]))), 4), F.lit(0)).cast("string")]
+        return [(F.coalesce(F.shiftright(F.get(field(df, "mpls"), F.lit(int(names[0]))), 4), F.lit(0)).cast("long"), no_text)]
     if kind == "list":
         acl = field(df, names[0])
-        return [F.when(acl.isNotNull(), F.concat_ws(":", F.transform(acl, lambda x: F.format_string("0x%x", x))))]
+        return [(no_number, F.when(acl.isNotNull(), F.concat_ws(":", F.transform(acl, lambda x: F.format_string("0x%x", x)))))]
     out = []
     for n in names:
         c = field(df, n)
         if kind == "number":
-            out.append(F.coalesce(c, F.lit(0)).cast("string"))
-        elif kind == "ip":
-            # IPv6 as hex here; only the few keys that are shown are turned into text
-            out.append(ip.text4(c) if n.endswith("4") else F.hex(c))
-        elif kind == "mac":
-            out.append(ip.mac_text(c))
-        elif kind == "hex":
-            out.append(F.hex(c))
+            wide = COLUMNS[n].typeName() == "decimal"  # beyond 63 bits
+            out.append((no_number, F.coalesce(c, F.lit(0)).cast("string")) if wide else (F.coalesce(c, F.lit(0)).cast("long"), no_text))
+        elif kind == "ip" and n.endswith("6"):
+            out.append((no_number, F.hex(c)))
+        elif kind in ("ip", "mac"):
+            out.append((c.cast("long"), no_text))
         else:
-            out.append(c)
+            out.append((no_number, F.hex(c) if kind == "hex" else c))
     return out
 
 
+def _key_text(kinds: list[str]) -> Column:
+    """Text of a key by the kind of its statistic (place in `kinds`)."""
+    of = lambda kind: [i for i, k in enumerate(kinds) if k == kind]
+    text = F.col("kl").cast("string")
+    for kind, f in (("ip", ip.text4), ("mac", ip.mac_text)):
+        if of(kind):
+            text = F.when(F.col("sid").isin(*of(kind)), f(F.col("kl"))).otherwise(text)
+    return F.coalesce(F.col("kt"), text)
+
+
 def _measure(name: str) -> Column:
     p, q, b, d = (F.col(x) for x in ("in_packets", "out_packets", "in_bytes", "out_bytes"))
     dur = F.col("last_ms") - F.col("first_ms")
@@ -103,16 +113,18 @@ def statistics(df: DataFrame, requests: list[str]) -> DataFrame:
     reqs = [parse_request(r) for r in requests]
     if not 1 <= len(reqs) <= MAX_STATS:
         raise ValueError(f"between 1 and {MAX_STATS} statistics")
+    wanted = list(dict.fromkeys((r.name, r.by_proto) for r in reqs))
     entries = []
-    for r in dict.fromkeys((r.name, r.by_proto) for r in reqs):
-        name, split = r
+    for i, (name, split) in enumerate(wanted):
         proto = field(df, "proto").cast("int") if split else F.lit(None).cast("int")
-        entries += [F.struct(F.lit(name + (":p" if split else "")).alias("stat"), proto.alias("proto"), k.alias("key")) for k in _sources(df, name)]
+        entries += [F.struct(F.lit(i).alias("sid"), proto.alias("proto"), n.alias("kl"), t.alias("kt")) for n, t in _sources(df, name)]
     zero = F.lit(0).cast("long")
     counts = [F.coalesce(field(df, n), zero).alias(n) for n in ("in_packets", "in_bytes", "out_packets", "out_bytes")]
     x = df.select("first_ms", "last_ms", weight(field(df, "cnt_flows")).alias("flows"), *counts, F.explode(F.array(*entries)).alias("e"))
-    g = x.select("e.*", "*").where("key is not null").groupBy("stat", "proto", "key")
-    return g.agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *[F.sum(n).alias(n) for n in ("flows", "in_packets", "in_bytes", "out_packets", "out_bytes")])
+    g = x.select("e.*", "*").where("kl is not null or kt is not null").groupBy("sid", "proto", "kl", "kt")
+    g = g.agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *[F.sum(n).alias(n) for n in ("flows", "in_packets", "in_bytes", "out_packets", "out_bytes")])
+    names = F.array(*[F.lit(name + (":p" if split else "")) for name, split in wanted])
+    return g.select(F.get(names, F.col("sid")).alias("stat"), "proto", _key_text([ELEMENTS[name][0] for name, _ in wanted]).alias("key"), *[c for c in g.columns if c not in ("sid", "proto", "kl", "kt")])
 
 
 def shown_key(df: DataFrame) -> DataFrame:
