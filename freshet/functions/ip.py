@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX4 = 0xFFFFFFFF
 
@@ -69,20 +67,17 @@ def text4(ip: Column) -> Column:
     return F.when(ip.isNotNull(), F.concat_ws(".", part(24), part(16), part(8), part(0)))
 
 
-@F.pandas_udf(T.StringType())
-def text6(ip: pd.Series) -> pd.Series:
-    """RFC 5952 text of 16 bytes."""
-    seen: dict[bytes, str] = {}
-
-    def one(b):
-        if b is None:
-            return None
-        k = bytes(b)
-        if k not in seen:
-            seen[k] = str(ipaddress.IPv6Address(k)) if len(k) == 16 else None
-        return seen[k]
-
-    return ip.map(one)
+def text6(ip: Column) -> Column:
+    """RFC 5952 text of 16 bytes: no leading zeros, the first of the longest runs of zero groups as ::, mapped IPv4 addresses with dots."""
+    plain = F.regexp_replace(text6_long(ip), "(^|:)0{1,3}", "$1")
+    out = plain
+    for k in range(2, 9):  # the longest run is tried first
+        run = f"(?:^|:)0(?::0){{{k - 1}}}(?:$|:)"
+        out = F.when(plain.rlike(run), F.regexp_replace(plain, f"^(.*?){run}(.*)$", "$1::$2")).otherwise(out)
+    h = F.hex(ip)
+    byte = lambda i: F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10)
+    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[byte(i) for i in range(12, 16)]))
+    return F.when(ip.isNotNull(), F.when(h.startswith("00000000000000000000FFFF"), mapped).otherwise(out))
 
 
 def text6_long(ip: Column) -> Column:

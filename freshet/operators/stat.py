@@ -130,7 +130,7 @@ def statistics(df: DataFrame, requests: list[str]) -> DataFrame:
 def shown_key(df: DataFrame) -> DataFrame:
     """Turns hex IPv6 keys of address statistics into text."""
     hex6 = F.col("key").rlike("^[0-9A-F]{32}$") & F.col("stat").rlike("ip|router")
-    return df.withColumn("key", F.when(hex6, ip.text6(F.when(hex6, F.unhex("key")))).otherwise(F.col("key")))
+    return df.withColumn("key", F.when(hex6, ip.text6(F.unhex("key"))).otherwise(F.col("key")))
 
 
 def top_n(df: DataFrame, requests: list[str], n: int = 10) -> DataFrame:

@@ -32,6 +32,17 @@ def test_address_columns(spark):
     assert r[1][0] is None and r[1][1] is None and r[1][5] is None and r[2][4] == 0
 
 
+def test_ipv6_text(spark):
+    import ipaddress
+    import random
+
+    r = random.Random(4)
+    every = [bytes(16), b"\xff" * 16, bytes(10) + b"\xff\xff\1\2\3\4", bytes(15) + b"\1", b"\1" + bytes(15)] + [bytes(r.choice([0, 0, 0, 0, r.randrange(256)]) for _ in range(16)) for _ in range(300)]
+    every += [b"".join(r.choice([b"\0\0", b"\0\0", b"\x12\x34"]) for _ in range(8)) for _ in range(200)]
+    df = spark.createDataFrame([(b,) for b in every], "b binary")
+    assert [x[0] for x in df.select(ip.text6(df.b)).collect()] == [str(ipaddress.IPv6Address(b)) for b in every]
+
+
 def test_times(spark):
     assert time.parse_ms("2024-07-11T09:15:10.010") == 1720689310010 and time.parse_ms("2024/07/11.09:15") == 1720689300000 and time.parse_ms("2024") == 1704067200000
     assert time.parse_ms("2024-07-11T09:15:10", "Europe/Zurich") == 1720682110000 and time.parse_ms("2024-07-11T09:15:10Z", "Europe/Zurich") == 1720689310000
