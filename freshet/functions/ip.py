@@ -69,11 +69,15 @@ def text4(ip: Column) -> Column:
 
 def text6(ip: Column) -> Column:
     """RFC 5952 text of 16 bytes: no leading zeros, the first of the longest runs of zero groups as ::, mapped IPv4 addresses with dots."""
-    plain = F.regexp_replace(text6_long(ip), "(^|:)0{1,3}", "$1")
-    out = plain
-    for k in range(2, 9):  # the longest run is tried first
-        run = f"(?:^|:)0(?::0){{{k - 1}}}(?:$|:)"
-        out = F.when(plain.rlike(run), F.regexp_replace(plain, f"^(.*?){run}(.*)$", "$1::$2")).otherwise(out)
+    def shortened(plain: Column) -> Column:
+        out = plain
+        for k in range(2, 9):  # the longest run is tried first
+            run = f"(?:^|:)0(?::0){{{k - 1}}}(?:$|:)"
+            out = F.when(plain.rlike(run), F.regexp_replace(plain, f"^(.*?){run}(.*)$", "$1::$2")).otherwise(out)
+        return out
+
+    # bound to a name once: the text is used many times
+    out = F.get(F.transform(F.array(F.regexp_replace(text6_long(ip), "(^|:)0{1,3}", "$1")), shortened), F.lit(0))
     h = F.hex(ip)
     byte = lambda i: F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10)
     mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[byte(i) for i in range(12, 16)]))

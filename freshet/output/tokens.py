@@ -46,8 +46,7 @@ class Projection:
         if port == "dst_port":
             d = F.coalesce(self["dst_port"], F.lit(0))
             p = F.when(self["proto"].isin(1, 58), F.concat_ws(".", F.shiftright(d, 8), d.bitwiseAND(255))).otherwise(p)
-        a = self.address(name)
-        return F.concat(a, F.when(F.contains(a, F.lit(":")), ".").otherwise(":"), p)
+        return F.concat(self.address(name), F.when(self[name + "4"].isNull() & self[name + "6"].isNotNull(), ".").otherwise(":"), p)
 
     def located(self, name: str, geo: str) -> Column:
         return F.concat(self.address(name), F.lit("("), F.coalesce(self[geo], F.lit("..")), F.lit(")"))
@@ -264,7 +263,7 @@ def fmt(df: DataFrame, text: str = "line", user: dict[str, str] | None = None, l
         width = len(TOKENS[x][0]) + (23 if long6 and x in ("sa", "da", "sap", "dap") else 0)
         v = TOKENS[x][2](p)
         pad = F.rpad if x in _LEFT else F.lpad
-        cols.append(F.when(F.length(v) >= width, v).otherwise(pad(v, width, " ")) if width else v)
+        cols.append(pad(v, F.greatest(F.length(v), F.lit(width)), F.lit(" ")) if width else v)
     return df.select(F.concat(*cols).alias("line"))
 
 
