@@ -126,6 +126,17 @@ def agg_srcnet(spark: SparkSession, d: str) -> DataFrame:
     return agg.aggregate(apply_filter(flows(spark, d), "ipv4"), "srcnet").drop("src6")
 
 
+_BITS, _DIGITS = "coalesce(src_mask, 0)", "'0123456789ABCDEF'"
+_NET4 = f"(src4 >> (32 - least({_BITS}, 32))) << (32 - least({_BITS}, 32))"
+_NIBBLE = f"(strpos({_DIGITS}, substr(hex(src6), {_BITS} // 4 + 1, 1)) - 1)"
+_NET6 = f"case when src6 is not null then unhex(substr(substr(hex(src6), 1, {_BITS} // 4) || substr({_DIGITS}, (({_NIBBLE} >> (4 - {_BITS} % 4)) << (4 - {_BITS} % 4)) + 1, 1) || repeat('0', 32), 1, 32)) end"
+
+
+@query(f"select {_NET4} src4, {_NET6} src6, {TOT} from flows group by 1, 2")
+def agg_srcnet_both(spark: SparkSession, d: str) -> DataFrame:
+    return agg.aggregate(flows(spark, d), "srcnet")
+
+
 @query(f"select exporter_id, src_as, dst_as, {TOT} from flows group by 1, 2, 3")
 def agg_exporter_as(spark: SparkSession, d: str) -> DataFrame:
     return agg.aggregate(flows(spark, d), "exp,srcas,dstas")
@@ -183,6 +194,16 @@ def top_then_post_filter(spark: SparkSession, d: str) -> DataFrame:
     return agg.top(g, "bytes", 50, ["src4"], "packets > 100k")
 
 
+@query(f"select src4, src6, {TOT} from flows group by 1, 2 having sum(in_bytes) > 100000000")
+def agg_post_filter_both(spark: SparkSession, d: str) -> DataFrame:
+    return apply_filter(agg.aggregate(flows(spark, d), "srcip"), "bytes > 100m")
+
+
+@query(f"select * from (select src4, src6, {TOT} from flows group by 1, 2 order by 6 desc, src4 nulls first, src6 nulls first limit 50) where in_packets > 100000")
+def top_then_post_filter_both(spark: SparkSession, d: str) -> DataFrame:
+    return agg.top(agg.aggregate(flows(spark, d), "srcip"), "bytes", 50, ["src4", "src6"], "packets > 100k")
+
+
 _DUR = "(last_ms - first_ms)"
 _RATE = "case when coalesce({1}, 0) = 0 then 0 else trunc({0} / {1}) end"
 _ORDER_SQL = {"flows": "cnt_flows", "packets": "in_packets + out_packets", "opackets": "out_packets", "ibytes": "in_bytes", "bytes": "in_bytes + out_bytes", "duration": _DUR, "tend": "-last_ms", "tstart": "-first_ms"}
@@ -233,7 +254,7 @@ _ip = lambda c: f"case when {c} is not null then {N4.format(c)} end"  # noqa: E7
 
 @query(_stat_sql("srcip", [_ip("src4")], "bytes", 10, "(select * from flows where proto = 6 and dst_port = 443 and src4 is not null)"))
 def stat_srcip_https(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: the ten sources with most bytes over HTTPS."""
+    """The ten IPv4 sources with most bytes over HTTPS; stat_srcip_https_both has both families."""
     return stat.top_n(apply_filter(flows(spark, d), "ipv4 and proto tcp and dst port 443"), ["srcip/bytes"], 10)
 
 
@@ -242,6 +263,17 @@ def stat_ip_flows(spark: SparkSession, d: str) -> DataFrame:
     return stat.top_n(apply_filter(flows(spark, d), "ipv4"), ["ip/flows"], 20)
 
 
+@query()
+def stat_srcip_https_both(spark: SparkSession, d: str) -> DataFrame:
+    """The ten sources with most bytes over HTTPS, of both families."""
+    return stat.top_n(apply_filter(flows(spark, d), "proto tcp and dst port 443"), ["srcip/bytes"], 10)
+
+
+@query()
+def stat_ip_flows_both(spark: SparkSession, d: str) -> DataFrame:
+    return stat.top_n(flows(spark, d), ["ip/flows"], 20)
+
+
 @query(_stat_sql("port:p", [_num("src_port"), _num("dst_port")], "packets", 25, split=True))
 def stat_port_by_proto(spark: SparkSession, d: str) -> DataFrame:
     return stat.top_n(flows(spark, d), ["port:p/packets"], 25)
@@ -414,6 +446,12 @@ def out_csv_fast(spark: SparkSession, d: str) -> DataFrame:
     return tokens.csv_fast(flows(spark, d).where("src6 is null"))
 
 
+@query()
+def out_csv_fast_both(spark: SparkSession, d: str) -> DataFrame:
+    """All flows; SQL can't print condensed IPv6 addresses, so the tests compare them with ipaddress."""
+    return tokens.csv_fast(flows(spark, d))
+
+
 @query()
 def out_line(spark: SparkSession, d: str) -> DataFrame:
     return tokens.fmt(flows(spark, d), "extended")
