@@ -7,6 +7,7 @@ domain, with the templates as state. Decoding works on Arrow batches; what it gi
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -314,9 +315,9 @@ def _domain(payload):
 CHUNK_MS = 300_000
 
 
-def _template_sets(data: bytes) -> list[tuple[int, bytes]]:
-    """(template number, a packet that holds just this template) for each template that a packet defines."""
-    out: list[tuple[int, bytes]] = []
+def _template_sets(data: bytes) -> list[tuple[int, bytes, bool]]:
+    """(template number, a packet that holds just this template, whether its records tell of samplers) for each template that a packet defines."""
+    out: list[tuple[int, bytes, bool]] = []
     try:
         (version,) = struct.unpack_from(">H", data)
         at, ids = (20, (0, 1)) if version == 9 else (16, (2, 3))
@@ -328,67 +329,160 @@ def _template_sets(data: bytes) -> list[tuple[int, bytes]]:
                 d = TemplateDecoder()
                 d._templates(data[at + 4 : at + size], version, kind == ids[1])
                 head = data[:20] if version == 9 else data[:2] + struct.pack(">H", 16 + size) + data[4:16]
-                out += [(tid, head + data[at : at + size]) for tid in d.templates]
+                out += [(tid, head + data[at : at + size], options and any(e in SAMPLER_ELEMENTS for e, _, _ in fields)) for tid, (options, fields) in d.templates.items()]
             at += size
     except (struct.error, IndexError):
         pass
     return out
 
 
-def _with_templates(x: DataFrame) -> DataFrame:
-    """Splits each stream of packets into chunks of time that can be decoded apart: every chunk begins with the templates that were known by
-    then. Only template sets are looked at for that: few rows, copied to the chunks up to their next definition."""
-    schema = "exporter_id int, d string, received_ms long, tid int, payload binary"
+def _set_ids(data: bytes) -> set[int]:
+    out, at = set(), 20 if data[:2] == b"\x00\x09" else 16
+    while at + 4 <= len(data):
+        kind, size = struct.unpack_from(">HH", data, at)
+        if size < 4:
+            break
+        out.add(kind)
+        at += size
+    return out
+
+
+# What is known of a stream: its templates (kind 0: id is the template's number, payload a packet that defines it) and samplers (kind 1:
+# id is the sampler's, payload what was told of it as JSON). `at` and `seq` order definitions.
+KNOWN = "exporter_id int, d string, kind int, id string, at long, seq long, payload binary, sampling boolean"
+_BEFORE = -(2**62)  # chunk of what was known before the first one
+
+
+def _stream_packets(packets: DataFrame) -> DataFrame:
+    """Packets with their domain, order and chunk. One without an arrival time is placed by the time of its header."""
+    v9 = F.substring("payload", 1, 2) == F.lit(b"\x00\x09")
+    u32 = lambda nine, ten: F.coalesce(F.conv(F.hex(F.substring(F.col("payload"), F.when(v9, nine).otherwise(ten), F.lit(4))), 16, 10).cast("long"), F.lit(0).cast("long"))
+    x = packets.where("payload is not null").select("exporter_id", "received_ms", "payload", F.hex(_domain(F.col("payload"))).alias("d"), F.coalesce("received_ms", u32(9, 5) * 1000).alias("at"), u32(13, 9).alias("seq"))
+    return x.withColumn("chunk", F.floor(F.col("at") / CHUNK_MS))
+
+
+def _same_stream(a: str, b: str):
+    return F.col(f"{a}.exporter_id").eqNullSafe(F.col(f"{b}.exporter_id")) & (F.col(f"{a}.d") == F.col(f"{b}.d"))
+
+
+def _carried(told: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What was told last of each id, copied to every later chunk of its stream up to the next that tells of it anew."""
+    w = Window.partitionBy("exporter_id", "d", "kind", "id").orderBy("chunk")
+    t = told.withColumn("next", F.lead("chunk").over(w)).alias("t")
+    c = chunks.select("exporter_id", "d", "chunk").distinct().alias("c")
+    later = (F.col("c.chunk") > F.col("t.chunk")) & (F.col("t.next").isNull() | (F.col("c.chunk") <= F.col("t.next")))
+    return t.join(c, _same_stream("t", "c") & later).select("t.exporter_id", F.lit(None).cast("long").alias("received_ms"), "t.payload", "t.d", "t.at", "t.seq", "c.chunk", F.col("t.kind").alias("rank"))
+
+
+_ORDER = ["exporter_id", "d", "chunk", "rank", "at", "seq"]  # copies come first, in the order of their definition
+
+
+def _in_order(x: DataFrame) -> DataFrame:
+    return x.repartition("exporter_id", "d", "chunk").sortWithinPartitions(*_ORDER)
+
+
+def _told(x: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Templates and samplers by the chunk in which they were told last; `known` counts as told before the first."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(e, d, 0, str(tid), t, q, p, s) for e, data, d, t, q in zip(*(b.column(i).to_pylist() for i in range(5))) for tid, p, s in _template_sets(data)]
+            if out:
+                yield _known_batch(out)
+
+    templates = x.select("exporter_id", "payload", "d", "at", "seq").mapInArrow(sets, KNOWN).withColumn("chunk", F.floor(F.col("at") / CHUNK_MS))
+    last = lambda c: F.max_by(c, F.struct("at", "seq")).alias(c)
+    templates = templates.groupBy("exporter_id", "d", "kind", "id", "chunk").agg(*[last(c) for c in ("at", "seq", "payload", "sampling")])
+    if known is not None:
+        templates = templates.unionByName(known.where("kind = 0").withColumn("chunk", F.lit(_BEFORE)))
+
+    # only packets with option records of samplers, and those that define templates, are decoded for the samplers
+    streams = templates.where("sampling").groupBy("exporter_id", "d").agg(F.collect_set("id").alias("ids"))
+    some = x.alias("x").join(streams.alias("s"), _same_stream("x", "s")).select("x.*", "s.ids")
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [bool(k & ({0, 1, 2, 3} | {int(i) for i in ids})) for k, ids in ((_set_ids(p), ids) for p, ids in zip(b.column("payload").to_pylist(), b.column("ids").to_pylist()))]
+            yield b.filter(pa.array(keep, pa.bool_())).drop_columns(["ids"])
+
+    some = some.mapInArrow(telling, x.schema).withColumn("rank", F.lit(2))
+    both = some.unionByName(_carried(templates, some))
+
+    def samplers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, decoder, at = None, TemplateDecoder(), (0, 0)
+
+        def rows() -> list[tuple]:
+            return [(key[0], key[1], 1, str(i), *at, json.dumps(told).encode(), False) for i, told in decoder.samplers.items()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(e, d, t, tid, p) for e, t, data, d in zip(*(b.column(i).to_pylist() for i in range(4))) for tid, p in _template_sets(data)]
+            out: list[tuple] = []
+            for e, d, c, p, t, q in zip(*(b.column(n).to_pylist() for n in ("exporter_id", "d", "chunk", "payload", "at", "seq"))):
+                if (e, d, c) != key:
+                    out += rows()
+                    key, decoder = (e, d, c), TemplateDecoder()
+                decoder.packet(p)
+                at = (t, q)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["exporter_id", "d", "received_ms", "tid", "payload"])
+                yield _known_batch(out)
+        if key and (out := rows()):
+            yield _known_batch(out)
+
+    told = _in_order(both).mapInArrow(samplers, KNOWN).withColumn("chunk", F.floor(F.col("at") / CHUNK_MS))
+    if known is not None:
+        told = told.unionByName(known.where("kind = 1").withColumn("chunk", F.lit(_BEFORE)))
+    return templates, told
+
 
-    chunk = F.floor(F.col("received_ms") / CHUNK_MS)
-    sets = x.select("exporter_id", "received_ms", "payload", "d").mapInArrow(run, schema).withColumn("chunk", chunk)
-    # the last definition within a chunk is what later chunks begin with
-    last = sets.groupBy("exporter_id", "d", "tid", "chunk").agg(F.max_by("payload", "received_ms").alias("payload"))
-    ends = x.groupBy("exporter_id", "d").agg(F.max(chunk).alias("end"))
-    w = Window.partitionBy("exporter_id", "d", "tid").orderBy("chunk")
-    known = last.withColumn("next", F.lead("chunk").over(w)).join(ends, ["exporter_id", "d"])
-    until = F.coalesce(F.col("next"), F.col("end"))
-    copies = known.where(until > F.col("chunk")).select("exporter_id", F.lit(None).cast("long").alias("received_ms"), "payload", "d", F.explode(F.sequence(F.col("chunk") + 1, until)).alias("chunk"))
-    return x.select("exporter_id", "received_ms", "payload", "d", chunk.alias("chunk")).unionByName(copies)
+def _known_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=[c.split()[0] for c in KNOWN.split(", ")])
 
 
-def decode_template_packets(packets: DataFrame) -> DataFrame:
+def stream_state(packets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Templates and samplers that are known after these packets (columns of KNOWN), from those known before."""
+    templates, told = _told(_stream_packets(_templated(packets)), known)
+    last = lambda c: F.max_by(c, F.struct("chunk", "at", "seq")).alias(c)
+    return templates.unionByName(told).groupBy("exporter_id", "d", "kind", "id").agg(*[last(c) for c in ("at", "seq", "payload", "sampling")])
+
+
+def decode_template_packets(packets: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Rows of version 9 and 10 to flow records, in order of arrival per exporter and domain, with the templates as state.
 
-    A stream is decoded in chunks of CHUNK_MS, each with the templates known at its start, so that one exporter's packets spread over
-    many tasks. Records whose template hasn't come yet are lost, as they are on the wire. Packets without an arrival time are left out.
-    Samplers that options tell of hold within their chunk; use enrich.sampling() for lasting ones.
+    A stream is decoded in chunks of CHUNK_MS, each with the templates and samplers known at its start, so that one exporter's packets
+    spread over many tasks. Records whose template hasn't come yet are lost, as they are on the wire. `known` has what earlier packets
+    of the streams told, see stream_state().
     """
-    x = packets.select("exporter_id", "received_ms", "payload", F.hex(_domain(F.col("payload"))).alias("d")).where("payload is not null and received_ms is not null")
+    x = _stream_packets(packets)
+    templates, told = _told(x, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, decoder = None, TemplateDecoder()
         for b in batches:
             rows: list[dict] = []
-            for e, t, p, d, c in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for e, t, p, d, c, rank in zip(*(b.column(n).to_pylist() for n in ("exporter_id", "received_ms", "payload", "d", "chunk", "rank"))):
                 if (e, d, c) != key:
                     key, decoder = (e, d, c), TemplateDecoder()
-                rows += decoder.packet(p, t, e)
+                if rank == 1:
+                    tell = json.loads(p)
+                    decoder.samplers[tell.get("id", -1)] = tell
+                else:
+                    rows += decoder.packet(p, t, e)
             if rows:
                 yield rows_to_batch(rows)
 
-    chunks = _with_templates(x)
-    # copies of templates have no time and come first
-    return chunks.repartition("exporter_id", "d", "chunk").sortWithinPartitions("exporter_id", "d", "chunk", "received_ms").mapInArrow(run, FLOW_SCHEMA)
+    whole = x.withColumn("rank", F.lit(2)).unionByName(_carried(templates, x)).unionByName(_carried(told, x))
+    return _in_order(whole).mapInArrow(run, FLOW_SCHEMA)
+
+
+def _templated(packets: DataFrame) -> DataFrame:
+    return packets.where(F.substring("payload", 1, 2).isin(b"\x00\x09", b"\x00\x0a"))
 
 
-def decode_packets(packets: DataFrame) -> DataFrame:
-    """Packets of any version, told apart by their first two bytes."""
+def decode_packets(packets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Packets of any version, told apart by their first two bytes; for `known` see decode_template_packets()."""
     v = F.substring("payload", 1, 2)
     fixed = packets.where(v.isin(b"\x00\x01", b"\x00\x05", b"\x00\x07"))
-    templated = packets.where(v.isin(b"\x00\x09", b"\x00\x0a"))
-    return decode_fixed_packets(fixed).unionByName(decode_template_packets(templated))
+    return decode_fixed_packets(fixed).unionByName(decode_template_packets(_templated(packets), known))
 
 
 def encode_v5(rows: list[dict], sequence: int = 0, uptime: int = 3_600_000, unix_ms: int | None = None) -> bytes:
