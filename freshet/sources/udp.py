@@ -89,14 +89,40 @@ def stream(spark: SparkSession, spool: str, max_files: int | None = None) -> Dat
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(spool)
 
 
+def _state_folders(spark: SparkSession, path: str) -> tuple[object, dict[int, object]]:
+    """The file system of `path` and the whole batch folders in it by number."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return fs, {int(p.getName().removeprefix("batch=")): p for p in found if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
 def decoded(packets: DataFrame, sflow: bool = False):
-    """Function for foreachBatch that hands each batch's flow records on: decoded(stream)(lambda flows, batch: ...)."""
-    from freshet.sources.netflow import decode_packets, decode_raw_packets
+    """Function for foreachBatch that hands each batch's flow records on: decoded(stream)(lambda flows, batch: ...).
+
+    Templates and samplers of NetFlow 9 and IPFIX are kept per exporter and domain in the checkpoint's folder `templates`, a table for each
+    batch. A batch starts from the table of the last one before it, so one that is run again after a loss decodes the same.
+    """
+    from freshet.sources.netflow import KNOWN, decode_packets, decode_raw_packets, stream_state
     from freshet.sources.sflow import decode_datagrams
 
     def start(each, checkpoint: str, every: str | None = "5 minutes"):
+        path = f"{checkpoint}/templates"
+
         def run(df: DataFrame, batch: int) -> None:
-            each(decode_datagrams(df) if sflow else decode_packets(df).unionByName(decode_raw_packets(df)), batch)
+            if sflow:
+                each(decode_datagrams(df), batch)
+                return
+            spark = df.sparkSession
+            fs, folders = _state_folders(spark, path)
+            before = max((b for b in folders if b < batch), default=None)
+            known = spark.read.schema(KNOWN).parquet(folders[before].toString()) if before is not None else None
+            each(decode_packets(df, known).unionByName(decode_raw_packets(df)), batch)
+            stream_state(df, known).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            for b, p in folders.items():
+                if before is not None and b < before:
+                    fs.delete(p, True)
 
         w = packets.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

@@ -2,7 +2,7 @@
 
 import struct
 
-from freshet.sources import netflow
+from freshet.sources import netflow, udp
 from tests.test_sources import FLOW
 
 CHUNK = netflow.CHUNK_MS
@@ -41,3 +41,28 @@ def test_later_definition_wins_over_an_older_set(spark):
     p = lambda kind, body: struct.pack(">HHIIII", 9, 1, 0, 1_700_000_000, 0, 0) + struct.pack(">HH", kind, 4 + len(body)) + body
     rows = [(1, 0, p(0, two)), (1, CHUNK, p(0, new)), (1, 3 * CHUNK, p(257, struct.pack(">I", 5))), (1, 3 * CHUNK + 1, p(256, struct.pack(">I", 6)))]
     assert decode(spark, rows) == [(1, 3 * CHUNK, 5, None), (1, 3 * CHUNK + 1, None, 6)]
+
+
+def test_templates_reach_later_batches(spark, tmp_path):
+    """Each packet is a batch of its own; the job is also stopped and started again."""
+    whole, bare = netflow.encode_v9([FLOW]), netflow.encode_v9([FLOW], with_template=False)
+    spool, got = str(tmp_path / "spool"), []
+
+    def put(*rows):
+        spark.createDataFrame([(e, "x", t, p) for e, t, p in rows], udp.SPOOL).coalesce(1).write.mode("append").parquet(spool)
+
+    def drain():
+        each = lambda df, batch: got.extend((batch, r.exporter_id, r.received_ms, r.in_bytes) for r in df.collect())
+        udp.decoded(udp.stream(spark, spool, 1))(each, str(tmp_path / "c"), every=None).awaitTermination()
+
+    put((2, 5, whole), (None, 5, whole))
+    drain()
+    put((2, 6, sampler(10)), (3, 6, bare))
+    drain()
+    put((2, 30 * CHUNK, bare), (None, 30 * CHUNK, bare), (3, 30 * CHUNK, bare))
+    drain()
+    # arrives later with an earlier time, and in a batch that tells of nothing
+    put((2, 4, bare))
+    drain()
+    assert sorted(got, key=str) == sorted([(0, 2, 5, 900), (0, None, 5, 900), (2, 2, 30 * CHUNK, 9000), (2, None, 30 * CHUNK, 900), (3, 2, 4, 9000)], key=str)
+    assert len(list((tmp_path / "c" / "templates").glob("batch=*"))) <= 3
