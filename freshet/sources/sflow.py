@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from freshet.sources.netflow import FLOW_SCHEMA, rows_to_batch
 from freshet.sources.pcap import ETHERNET, RAW, decode
 
+# Bytes of the counter blocks of versions 2 and 4 by their number; all but that of a VLAN begin with the 88 of an interface.
+_COUNTERS = {1: 88, 2: 88 + 52, 3: 88 + 72, 4: 88, 5: 88 + 80, 6: 88, 7: 28}
 # Protocol numbers of sampled headers that are understood.
 _LINK = {1: ETHERNET, 11: RAW[0], 12: RAW[0]}
 
@@ -63,8 +65,10 @@ def datagram(b: bytes, received_ms: int | None = None, exporter_id: int | None =
                 x.i = end
             elif kind == 1:
                 out.append(base | _sample_old(x, version))
+            elif kind == 2:
+                _counters_old(x)
             else:
-                break  # counters of the old versions have no length
+                break  # what follows can't be placed
     except (struct.error, IndexError):
         pass
     return out
@@ -167,6 +171,9 @@ def _sample_old(x: _Xdr, version: int) -> dict:
             r["src_as"], r["prev_as"] = x.u(), x.u()
             path: list[int] = []
             for _ in range(x.u()):
+                if version == 2:  # a plain list of numbers; version 4 has segments
+                    path.append(x.u())
+                    continue
                 x.u()
                 path += [x.u() for _ in range(x.u())]
             if path:
@@ -175,11 +182,24 @@ def _sample_old(x: _Xdr, version: int) -> dict:
                 for _ in range(x.u()):
                     x.u()
                 x.u()
+        elif ext == 4:  # source and destination user
+            x.opaque(x.u()), x.opaque(x.u())
+        elif ext == 5:  # direction, URL
+            x.u(), x.opaque(x.u())
         else:
             raise IndexError  # what follows can't be placed
     return r
 
 
+def _counters_old(x: _Xdr) -> None:
+    """Reads over a counter sample: sequence, source, interval, number of the block, block."""
+    x.u(), x.u(), x.u()
+    block = x.u()
+    if block not in _COUNTERS:
+        raise IndexError  # what follows can't be placed
+    x.opaque(_COUNTERS[block])
+
+
 def decode_datagrams(packets: DataFrame) -> DataFrame:
     """Rows (exporter_id, received_ms, payload) to flow records; each datagram decodes on its own."""
 
