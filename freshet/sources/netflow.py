@@ -82,7 +82,8 @@ def decode_fixed(packet: bytes, received_ms: int | None = None, exporter_id: int
     return out
 
 
-# --- templates: element number -> (column, how to read). n number, b bytes, r relative to uptime (ms), s seconds, m milliseconds, t text
+# --- templates: element number -> (column, how to read). n number, b bytes, r relative to uptime (ms), s seconds, m milliseconds, t text,
+# u microseconds before the export, p NTP time, + microseconds to add up, +s the same in seconds, a list of 32-bit numbers
 # Information elements that the flow schema holds.
 ELEMENTS = {
     1: ("in_bytes", "n"), 2: ("in_packets", "n"), 3: ("cnt_flows", "n"), 4: ("proto", "n"), 5: ("src_tos", "n"), 6: ("tcp_flags", "n"), 7: ("src_port", "n"), 8: ("src4", "n"), 9: ("src_mask", "n"), 10: ("input_if", "n"),
@@ -93,12 +94,21 @@ ELEMENTS = {
     136: ("end_reason", "n"), 138: ("obs_point_id", "n"), 139: ("dst_port", "n"), 148: ("flow_id", "n"), 149: ("obs_domain_id", "n"), 150: ("first_ms", "s"), 151: ("last_ms", "s"), 152: ("first_ms", "m"), 153: ("last_ms", "m"), 176: ("_icmp_type", "n"), 177: ("_icmp_code", "n"),
     178: ("_icmp_type", "n"), 179: ("_icmp_code", "n"), 197: ("frag_flags", "n"), 225: ("x_src4", "n"), 226: ("x_dst4", "n"), 227: ("x_src_port", "n"), 228: ("x_dst_port", "n"), 230: ("nat_event", "n"), 233: ("fw_event", "n"), 234: ("ingress_vrf", "n"), 235: ("egress_vrf", "n"),
     239: ("biflow_dir", "n"), 243: ("vlan_id", "n"), 245: ("customer_vlan", "n"), 254: ("post_vlan", "n"), 255: ("post_customer_vlan", "n"), 256: ("ether_type", "n"), 281: ("x_src6", "b"), 282: ("x_dst6", "b"), 283: ("nat_pool", "n"), 302: ("selector_id", "n"), 315: ("inmon_frame", "b"),
+    60: ("ip_version", "n"), 156: ("first_ms", "p"), 157: ("last_ms", "p"), 158: ("first_ms", "u"), 159: ("last_ms", "u"), 161: ("_duration", "n"), 171: ("out_bytes", "n"), 172: ("out_packets", "n"), 180: ("src_port", "n"), 181: ("dst_port", "n"), 182: ("src_port", "n"), 183: ("dst_port", "n"),
+    192: ("min_ttl", "n"), 231: ("in_bytes", "n"), 232: ("out_bytes", "n"), 252: ("l2_ingress", "n"), 253: ("l2_egress", "n"), 278: ("cnt_flows", "n"), 298: ("in_packets", "n"), 299: ("out_packets", "n"), 312: ("frame_size", "n"), 408: ("link_type", "n"),
+    33000: ("ingress_acl", "a"), 33001: ("egress_acl", "a"), 33002: ("fw_xevent", "n"), 40000: ("username", "t"), 40001: ("x_src4", "n"), 40002: ("x_dst4", "n"), 40003: ("x_src_port", "n"), 40004: ("x_dst_port", "n"), 40005: ("fw_event", "n"),
+    57554: ("client_us", "+s"), 57555: ("client_us", "+"), 57556: ("server_us", "+s"), 57557: ("server_us", "+"), 57558: ("app_us", "+s"), 57559: ("app_us", "+"),
     323: ("_event_ms", "m"), 361: ("pb_start", "n"), 362: ("pb_end", "n"), 363: ("pb_step", "n"), 364: ("pb_size", "n"), 371: ("username", "t"),
 }
 MPLS_FIRST = 70  # elements 70..79 are the label stack
 SAMPLER_ELEMENTS = {34: "packet_interval", 50: "packet_interval", 305: "packet_interval", 306: "space_interval", 35: "algorithm", 49: "algorithm", 304: "algorithm", 48: "id", 302: "id"}
 REVERSE = {1: "out_bytes", 2: "out_packets", 85: "out_bytes", 86: "out_packets"}  # under the reverse enterprise number
 REVERSE_PEN = 29305
+# (enterprise number, element) -> the plain element it means (Cisco), or column and how to read (Nokia, CERT).
+ENTERPRISE = {
+    (9, 12236): 8, (9, 12237): 12, (9, 12241): 11, (9, 8337): 1, (9, 8338): 23, (637, 91): ("in_service_id", "n"), (637, 92): ("out_service_id", "n"), (637, 93): ("nat_string", "t"), (6871, 18): ("in_payload", "b"), (6871, 16402): ("out_payload", "b"),
+}
+NTP_UNIX_S = 2_208_988_800  # from 1900 to 1970
 MAX_NESTING = 16
 
 
@@ -199,6 +209,8 @@ class TemplateDecoder:
                         r[REVERSE[element]] = int.from_bytes(v, "big")
                 elif not pen:
                     self._put(r, element, v, secs, uptime)
+                elif (pen, element) in ENTERPRISE:
+                    self._put(r, ENTERPRISE[pen, element], v, secs, uptime)
             if options:
                 if tell:
                     self.samplers[tell.get("id", -1)] = tell
@@ -223,7 +235,10 @@ class TemplateDecoder:
             i += size
         return out
 
-    def _put(self, r: dict, element: int, v: bytes, secs: int, uptime: int | None) -> None:
+    def _put(self, r: dict, element: int | tuple[str, str], v: bytes, secs: int, uptime: int | None) -> None:
+        if isinstance(element, tuple):
+            self._set(r, *element, v, secs, uptime)
+            return
         if MPLS_FIRST <= element < MPLS_FIRST + 10:
             stack = r.setdefault("mpls", [0] * 10)
             stack[element - MPLS_FIRST] = int.from_bytes(v, "big")
@@ -233,7 +248,12 @@ class TemplateDecoder:
             return
         if element not in ELEMENTS:
             return
-        name, how = ELEMENTS[element]
+        if element == 148 and r.get("nf_version") == 9:
+            self._set(r, "conn_id", "n", v, secs, uptime)
+            return
+        self._set(r, *ELEMENTS[element], v, secs, uptime)
+
+    def _set(self, r: dict, name: str, how: str, v: bytes, secs: int, uptime: int | None) -> None:
         n = int.from_bytes(v, "big")
         if how == "b":
             r[name] = bytes(v)
@@ -241,6 +261,14 @@ class TemplateDecoder:
             r[name] = v.rstrip(b"\0").decode("utf-8", "replace")
         elif how == "s":
             r[name] = n * 1000
+        elif how == "u":
+            r["_far_" + name] = secs * 1000 - n // 1000
+        elif how == "p":
+            r["_ntp_" + name] = ((n >> 32) - NTP_UNIX_S) * 1000 + ((n & 0xFFFFFFFF) * 1000 >> 32) if n >> 32 >= NTP_UNIX_S else 0
+        elif how in ("+", "+s"):
+            r[name] = r.get(name, 0) + n * (1_000_000 if how == "+s" else 1)
+        elif how == "a":
+            r[name] = [int.from_bytes(v[i : i + 4], "big") for i in range(0, len(v), 4)]
         elif how == "r":
             if uptime is not None:
                 r[name] = _absolute(secs * 1000, uptime, n)
@@ -254,7 +282,14 @@ class TemplateDecoder:
             rel = r.pop("_rel_" + name, None)
             if rel is not None and "_boot" in r:
                 r[name] = r["_boot"] + rel
+            for kind in ("_ntp_", "_far_"):
+                t = r.pop(kind + name, None)
+                if t is not None:
+                    r.setdefault(name, t)
         r.pop("_boot", None)
+        duration = r.pop("_duration", None)
+        if duration and r.get("first_ms") and not r.get("last_ms"):
+            r["last_ms"] = r["first_ms"] + duration
         kind, code = r.pop("_icmp_type", None), r.pop("_icmp_code", 0)
         if kind is not None:
             r["dst_port"] = kind << 8 | code
