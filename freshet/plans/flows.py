@@ -226,6 +226,12 @@ def sort_records(spark: SparkSession, d: str) -> DataFrame:
     return agg.top(x, "tstart", 200, ["rec_no"]).select("rec_no", "first_ms", "in_bytes")
 
 
+@query("select rec_no, first_ms, in_bytes from flows where first_ms is not null order by first_ms, rec_no")
+def sort_records_all(spark: SparkSession, d: str) -> DataFrame:
+    x = flows(spark, d).where("first_ms is not null")
+    return agg.top(x, "tstart", 0, ["rec_no"]).select("rec_no", "first_ms", "in_bytes")
+
+
 # --- statistics
 
 
@@ -388,11 +394,15 @@ def as_lookup(spark: SparkSession, d: str) -> DataFrame:
 _SEEN = "select src4 ip, first_ms // 1000 seen from flows where src4 % 5 = 0 and first_ms > 0 and last_ms > 0 and first_ms // 86400000 % 2 = 0"
 
 
-@query(
-    f"with s as ({_SEEN}), m as (select *, lag(seen) over (partition by ip order by seen) p from s), n as (select *, sum(case when p is null or seen - p > 86400 then 1 else 0 end) over (partition by ip order by seen rows unbounded preceding) i from m), v as (select ip, i, min(seen) a, max(seen) z from n group by 1, 2), "
+# how flows stand to the intervals of the sightings
+_TOR = (
+    "with s as ({seen}), m as (select *, lag(seen) over (partition by ip order by seen) p from s), n as (select *, sum(case when p is null or seen - p > 86400 then 1 else 0 end) over (partition by ip order by seen rows unbounded preceding) i from m), v as (select ip, i, min(seen) a, max(seen) z from n group by 1, 2), "
     "x as (select rec_no, src4, bool_or(first_ms // 1000 between a and z + 86400 or last_ms // 1000 between a and z + 86400) hit, count(v.ip) k from flows left join v on v.ip = src4 group by 1, 2) "
     "select case when src4 is null then null when k = 0 then '..' when hit then 'EX' else 'ex' end src_tor, count(*) n from x group by 1"
 )
+
+
+@query(_TOR.format(seen=_SEEN))
 def tor_exits(spark: SparkSession, d: str) -> DataFrame:
     f = flows(spark, d)
     seen = f.where("src4 % 5 = 0 and first_ms > 0 and last_ms > 0 and first_ms div 86400000 % 2 = 0").select(F.col("src4").alias("ip"), F.floor(F.col("first_ms") / 1000).alias("seen"))
@@ -400,6 +410,15 @@ def tor_exits(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("src_tor").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_TOR.format(seen="select src4 ip, first_ms // 1000 seen from flows where src4 is not null and first_ms > 0 and last_ms > 0"))
+def tor_exits_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every source counts as an exit from its first sighting on."""
+    f = flows(spark, d)
+    seen = f.where("src4 is not null and first_ms > 0 and last_ms > 0").select(F.col("src4").alias("ip"), F.floor(F.col("first_ms") / 1000).alias("seen"))
+    x = enrich.tor(f.select("src4", "first_ms", "last_ms"), "src4", enrich.tor_intervals(seen), "src_tor")
+    return x.groupBy("src_tor").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select e.ip exporter_ip, e.version, count(*) n, cast(sum(in_bytes) as bigint) in_bytes from flows f left join exporters e on e.sysid = f.exporter_id group by 1, 2")
 def exporter_names(spark: SparkSession, d: str) -> DataFrame:
     f, e = flows(spark, d), table(spark, d, "exporters")
