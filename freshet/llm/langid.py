@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "nl", "pl", "ru", "uk", "ja"]
 MIN_LINE = 60
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 150, 4, 160
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 200, 6, 400
 MIN_DOCS = 3  # documents of the sample that must have a word of the lexicon
 DIMS = 1 << 16
-ROUNDS = 15
+ROUNDS = 30
 CACHE = 200_000
 BATCH_WORDS = 400_000
 

@@ -197,15 +197,30 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
 
 
 def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, n: int = N) -> DataFrame:
-    """`doc_id`, `item_id`, span_start, span_end: the characters of the text that come from the item (end exclusive). The test side
-    must be within MAX_NGRAMS. Other rules as in leaked()."""
+    """`doc_id`, `item_id`, span_start, span_end: the characters of the text that come from the item (end exclusive). Rules as in
+    leaked()."""
     test = _test_set(items, item_id, passage, n)
     if test is None:
-        raise ValueError("the test side is too large for spans")
+        return _spans_of_pairs(docs, doc_id, text, items, item_id, passage, n)
     x = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
     return x.mapInArrow(_scan(test, spans=True), SPAN).distinct().select(F.col("id").alias(doc_id), F.col("item_id").alias(item_id), "span_start", "span_end")
 
 
+def _spans_of_pairs(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, n: int) -> DataFrame:
+    """leaked_spans() for a test side of any size: documents and items that share an n-gram meet, each pair is scanned for itself."""
+    pairs = _grams(docs, doc_id, text, n).join(_grams(items, item_id, passage, n).withColumnRenamed("k", "i"), "gram").select("k", "i").distinct()
+    x = docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    y = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{passage}`").alias("p")).where("p is not null").groupBy("i").agg(F.collect_set("p").alias("passages"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, (i, passages) in enumerate(zip(b.column("i").to_pylist(), b.column("passages").to_pylist())):
+                yield from _scan(TestSet(((i, p) for p in passages), n), spans=True)(iter([b.slice(at, 1).select(["id", "text"])]))
+
+    met = pairs.join(x, "k").join(y, "i").select(F.col("k").alias("id"), "text", "i", "passages")
+    return met.mapInArrow(run, SPAN).distinct().select(F.col("id").alias(doc_id), F.col("item_id").alias(item_id), "span_start", "span_end")
+
+
 def without_spans(docs: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of `text`: overlapping spans count once. Documents without spans stay as they are."""
     per = spans.groupBy(F.col(f"`{doc_id}`").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("_spans"))
