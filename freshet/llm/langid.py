@@ -4,23 +4,25 @@ Every word is scored for each language by the weights of its features (prefixes,
 and its membership in the languages' lexicons); learned transitions say how readily a text changes language between two words.
 Forward-backward gives each word its probabilities, and a line, which is in one language, the language that its words have together.
 
-Training: on a bounded sample of labelled documents (SAMPLE_DOCS per language, SAMPLE_LINES lines of each, SAMPLE_CHARS characters of
-each line), chosen by hash of the id. Labels may be wrong and lines in another language than their document: before training, word counts
-per language relabel the lines again and again until they agree, and lines that stay unsure or look garbled are left out. Training
-sequences are joined from pieces of different languages, so the transitions see switches. Everything else covers all documents and all of their text.
+Training: on a bounded sample of labelled documents (SAMPLE_DOCS per language, SAMPLE_LINES whole lines of each, of at most SAMPLE_CHARS
+characters), documents and lines chosen by hash. Labels may be wrong and lines in another language than their document: before training,
+word counts per language relabel the lines again and again until they agree, and lines that stay unsure or look garbled are left out.
+Training sequences are joined from pieces of different languages, so the transitions see switches. The lexicons are part of the
+classifier and come from the same sample. Everything else covers all documents and all of their text.
 
 Text that was decoded with the wrong character set is recognised by its lexicon: if another reading of the same bytes has clearly
 more known words, that reading is labelled.
 
-Scale: one pass over the texts, nothing shuffled; a worker scores each distinct word once and keeps the score in a cache of bounded size.
+Scale: one pass over the texts, nothing shuffled; a worker scores the distinct words of a batch at once, as arrays, and keeps the scores in
+a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,16 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "nl", "pl", "ru", "uk", "ja"]
 MIN_LINE = 60
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 200, 6, 400
+SAMPLE_DOCS, SAMPLE_LINES = 200, 6
+SAMPLE_CHARS = 2_000  # longer lines are not trained on
 MIN_DOCS = 3  # documents of the sample that must have a word of the lexicon
-DIMS = 1 << 16
-ROUNDS = 30
+DIM_BITS = 16
+DIMS = 1 << DIM_BITS
+BATCHES, EPOCHS = 8, 5
 CACHE = 200_000
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000
+SCORE_CHARS = 200_000
+SURE_SHARE = 0.75  # of letters in known words: no other reading is tried
 
 # Usual notations of the languages (fixed values): ISO 639-1, 639-2/B, 639-2/T, English and own names.
 NOTATIONS = {
@@ -55,8 +61,11 @@ WRITTEN_AS = ["utf-8", "cp1251", "koi8-u", "cp1250", "iso-8859-2", "cp932", "euc
 READ_AS = ["cp1252", "cp1251"]
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿々ー]{1,3}|[^\W\d_]+")
+# the same where a line has no such letters, and where it has ASCII only
+_EAST, _PLAIN_TOKEN, _ASCII_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]"), re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
 # a lead byte of UTF-8 and a continuation byte, both read as Western European letters and signs
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
+_HIGH = re.compile("[\u0080-ÿ]")
 _SUSPECT = re.compile("[\u0080-ÿƒ‚„†‡€ŠŒŽ‰Ђ-Џђ-џ�]")
 
 
@@ -73,52 +82,104 @@ def label_column(label: Column) -> Column:
 
 
 def tokens(line: str) -> list[str]:
-    if not line.isascii():
-        line = unicodedata.normalize("NFKC", line)
-    return _TOKEN.findall(line.lower())
+    if line.isascii():
+        return _ASCII_TOKEN.findall(line.lower())
+    line = unicodedata.normalize("NFKC", line).lower()
+    return (_TOKEN if _EAST.search(line) else _PLAIN_TOKEN).findall(line)
+
+
+# Places of the weights behind the hashed features: a word's languages by the lexicons, words in none, and scripts.
+_IN, _UNKNOWN, _SCRIPT = DIMS, DIMS + len(LANGUAGES), DIMS + len(LANGUAGES) + 1
+_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(h: np.ndarray, kind: int) -> np.ndarray:
+    """Place of a feature by its hash and kind."""
+    h = (h + np.uint64(kind)) * _SPREAD
+    return (((h ^ (h >> np.uint64(29))) * _SPREAD) >> np.uint64(64 - DIM_BITS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features of the words as pairs (place of the word, place of the weight), each in order of the words: affixes, n-grams, the script, the
+    words that a lexicon has, and the lexicons that have it. All words are hashed at once, over one array of their characters."""
+    cp = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(cp)) - start[of]
+    left = size[of] - at
+    out, h = [], np.zeros(len(cp), np.uint64)
+    for n in range(1, 6):
+        # hash of the n characters from each place on; those that reach into the next word are not used
+        h = h * _BASE
+        h[: max(len(cp) - n + 1, 0)] += cp[n - 1 :]
+        if n <= 3:
+            ok = np.flatnonzero(left >= n if n > 1 else (at > 0) & (left > 1))
+            out.append((of[ok], _hashed(h[ok], n)))
+        if n >= 2:
+            long = np.flatnonzero(size > n)
+            out += [(long, _hashed(h[start[long]], 10 + n)), (long, _hashed(h[start[long] + size[long] - n], 20 + n))]
+    mask = np.array([lexicon.get(w, 0) for w in words], np.int64)
+    known = np.flatnonzero(mask)
+    power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
+    out.append((known, _hashed(np.add.reduceat(cp * power[at], start)[known], 30)))
+    out += [(w := np.flatnonzero(mask >> k & 1), np.full(len(w), _IN + k)) for k in range(len(LANGUAGES))]
+    none = np.flatnonzero(mask == 0)
+    out.append((none, np.full(len(none), _UNKNOWN)))
+    first = cp[start + 1]
+    script = np.select([(first >= 0x3040) & (first <= 0x9FFF), (first >= 0x400) & (first <= 0x52F), first < 0x250], [0, 1, 2], 3)
+    out.append((np.arange(len(words)), _SCRIPT + script))
+    return out
+
 
+WEIGHTS = _SCRIPT + 4
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features: affixes, n-grams, the word, its script and (a bit for each language) its place in the lexicons."""
-    w = f"<{word}>" if len(word) <= 24 else f"<{word[:12]}{word[-12:]}>"
-    first = word[0]
-    f = ["sj" if "぀" <= first <= "鿿" else "sc" if "Ѐ" <= first <= "ԯ" else "sl" if first < "ɐ" else "so"]
-    f += [f"p{w[:n]}" for n in (2, 3, 4, 5) if len(w) > n]
-    f += [f"e{w[-n:]}" for n in (2, 3, 4, 5) if len(w) > n]
-    f += [f"g{w[i : i + n]}" for n in (1, 2, 3) for i in range(1 if n == 1 else 0, len(w) - n + 1)]
-    mask = lexicon.get(word, 0)
-    f += [f"w{w}", *(f"x{k}" for k in range(len(LANGUAGES)) if mask >> k & 1)] if mask else ["x-"]
-    return [zlib.crc32(x.encode()) % DIMS for x in f]
+
+def _scored(groups: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the weights of each of n words."""
+    out = np.zeros((n, weights.shape[1]), weights.dtype)
+    for word, col in groups:
+        if len(word):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[first]] += np.add.reduceat(weights[col], first, axis=0) if len(first) < len(word) else weights[col]
+    return out
 
 
-def forward_backward(em: np.ndarray, trans: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(em: np.ndarray, trans: np.ndarray, length: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """em: (batch, time, language) log scores; trans: log scores. Posteriors (batch, time, language), 0 beyond a sequence's length, and
     the expected transitions summed over everything."""
-    b, t, k = em.shape
+    em = em.transpose(1, 0, 2)  # by time, so that a step's rows lie together
+    t, b, k = em.shape
     e = np.exp(em - em.max(2, keepdims=True))
-    tr = np.exp(trans)
+    tr = np.exp(trans).astype(e.dtype)
     alpha, beta = np.empty_like(e), np.empty_like(e)
-    a = e[:, 0]
-    alpha[:, 0] = a / a.sum(1, keepdims=True)
+    one = np.ones((k, 1), e.dtype)  # row sums as products: there are few columns
+    alpha[0] = e[0] / (e[0] @ one)
     for i in range(1, t):
-        a = (alpha[:, i - 1] @ tr) * e[:, i]
-        alpha[:, i] = a / a.sum(1, keepdims=True)
-    beta[:, t - 1] = 1.0
-    inside = np.arange(t)[None, :] < length[:, None]
+        a = alpha[i - 1] @ tr
+        a *= e[i]
+        np.divide(a, a @ one, out=alpha[i])
+    beta[t - 1] = 1.0
+    inside = np.arange(t)[:, None] < length[None, :]
+    back = np.ascontiguousarray(tr.T)
     for i in range(t - 2, -1, -1):
-        x = (e[:, i + 1] * beta[:, i + 1]) @ tr.T
-        x /= x.sum(1, keepdims=True)
-        beta[:, i] = np.where(inside[:, i + 1, None], x, 1.0)
+        x = (e[i + 1] * beta[i + 1]) @ back
+        np.divide(x, x @ one, out=beta[i])
+        over = ~inside[i + 1]
+        if over.any():
+            beta[i, over] = 1.0
     g = alpha * beta
-    g /= g.sum(2, keepdims=True)
+    g /= g @ one
     g *= inside[:, :, None]
+    if not pairs:
+        return g.transpose(1, 0, 2), None
     if t < 2:
-        return g, np.zeros((k, k))
-    right = e[:, 1:] * beta[:, 1:]
-    norm = np.einsum("btk,kl,btl->bt", alpha[:, :-1], tr, right, optimize=True)
-    w = inside[:, 1:] / norm
-    pair = np.einsum("btk,btl->kl", alpha[:, :-1] * w[:, :, None], right, optimize=True) * tr
-    return g, pair
+        return g.transpose(1, 0, 2), np.zeros((k, k))
+    right = (e[1:] * beta[1:]).reshape(-1, k)
+    before = alpha[:-1].reshape(-1, k)
+    w = inside[1:].reshape(-1) / (((before @ tr) * right) @ one)[:, 0]
+    pair = (before * w[:, None].astype(before.dtype)).T @ right * tr
+    return g.transpose(1, 0, 2), pair
 
 
 class Model:
@@ -128,6 +189,7 @@ class Model:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.scored = 0
         self.scores = np.zeros((1024, len(LANGUAGES)), np.float32)
 
     def __getstate__(self) -> dict:
@@ -137,22 +199,34 @@ class Model:
         self.__init__(**s)
 
     def ids(self, words: list[str]) -> list[int]:
-        get = self.place.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, w in enumerate(words):
-                if out[i] < 0:
-                    n = self.place.get(w)
-                    if n is None:
-                        n = self.place[w] = len(self.place)
-                        if n >= len(self.scores):
-                            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                        self.scores[n] = self.weights[features(w, self.lexicon)].sum(0)
-                    out[i] = n
-        return out
+        """Places of the words in `scores`. Those that are new get theirs now and their scores by score(), all of a batch at once."""
+        place = self.place
+        return [place.setdefault(w, len(place)) for w in words]
+
+    def score(self) -> None:
+        have, want = self.scored, len(self.place)
+        if want == have:
+            return
+        new = list(islice(self.place, have, None))
+        if want > len(self.scores):
+            grown = np.zeros((2 * want, len(LANGUAGES)), np.float32)
+            grown[:have] = self.scores[:have]
+            self.scores = grown
+        at = 0
+        while at < len(new):
+            # so many characters at a time; a longer word goes alone
+            n = chars = 0
+            while at + n < len(new) and (n == 0 or chars + len(new[at + n]) < SCORE_CHARS):
+                chars += len(new[at + n])
+                n += 1
+            part = new[at : at + n]
+            self.scores[have + at : have + at + n] = _scored(features(part, self.lexicon), self.weights, n)
+            at += n
+        self.scored = want
 
     def posteriors(self, lines: list[list[int]]) -> np.ndarray:
         """Sum of the words' probabilities for each line (numbers of words by ids())."""
+        self.score()
         out = np.zeros((len(lines), len(LANGUAGES)))
         length = np.array([len(x) for x in lines], np.int64)
         order = np.argsort(length, kind="stable")
@@ -160,16 +234,15 @@ class Model:
         at = 0
         while at < len(order):
             # lines of like length together: at most BATCH_WORDS places at a time
-            n = max(1, min(len(order) - at, 1024))
+            n = max(1, min(len(order) - at, 4096))
             while n > 1 and n * length[order[at + n - 1]] > BATCH_WORDS:
                 n //= 2
             rows = order[at : at + n]
             at += n
             t = int(length[rows[-1]])
-            idx = np.zeros((n, t), np.int64)
-            for i, r in enumerate(rows):
-                idx[i, : length[r]] = lines[r]
-            g, _ = forward_backward(self.scores[idx], self.trans, length[rows]) if n * t <= 4 * BATCH_WORDS else self._long(idx[0])
+            idx = np.zeros((t, n), np.int64)
+            idx.T[np.arange(t)[None, :] < length[rows][:, None]] = np.fromiter(chain.from_iterable(lines[r] for r in rows), np.int64, int(length[rows].sum()))
+            g, _ = forward_backward(self.scores[idx].transpose(1, 0, 2), self.trans, length[rows], pairs=False) if n * t <= 4 * BATCH_WORDS else self._long(idx[:, 0])
             out[rows] = g.sum(1)
         return out
 
@@ -178,7 +251,7 @@ class Model:
         size, edge, total = BATCH_WORDS, 100, np.zeros(len(LANGUAGES))
         for s in range(0, len(ids), size):
             a, z = max(0, s - edge), min(len(ids), s + size + edge)
-            g, _ = forward_backward(self.scores[ids[a:z]][None], self.trans, np.array([z - a]))
+            g, _ = forward_backward(self.scores[ids[a:z]][None], self.trans, np.array([z - a]), pairs=False)
             total += g[0, s - a : min(s + size, len(ids)) - a].sum(0)
         return total[None, None], None
 
@@ -189,12 +262,12 @@ class Model:
 
 
 def _train(lines: list[tuple[list[str], int]], lexicon: dict[str, int], seed: int = 5) -> Model:
-    """Maximum likelihood by Adam over whole batches, with a little shrinkage."""
+    """Maximum likelihood by Adam over BATCHES parts of the lines, EPOCHS times, with a little shrinkage."""
     k = len(LANGUAGES)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws, _ in lines]
-    label = np.array([y for _, y in lines])
+    label = [y for _, y in lines]
     # pieces of random length, joined in random order: one sequence holds one to four languages
     pieces = []
     for ws, y in zip(coded, label):
@@ -205,50 +278,72 @@ def _train(lines: list[tuple[list[str], int]], lexicon: dict[str, int], seed: in
             at += n
     pieces = [pieces[i] for i in rng.permutation(len(pieces))]
     seqs = [pieces[i : i + 3] for i in range(0, len(pieces), 3)]
-    x = [np.concatenate([p for p, _ in s]) for s in seqs]
-    y = [np.concatenate([np.full(len(p), c) for p, c in s]) for s in seqs]
-    length = np.array([len(a) for a in x])
-    t = int(length.max())
-    idx, gold = np.zeros((len(x), t), np.int64), np.zeros((len(x), t), np.int64)
-    for i, (a, b) in enumerate(zip(x, y)):
-        idx[i, : len(a)], gold[i, : len(b)] = a, b
-    inside = np.arange(t)[None, :] < length[:, None]
-    gold_pairs = np.zeros((k, k))
-    np.add.at(gold_pairs, (gold[:, :-1][inside[:, 1:]], gold[:, 1:][inside[:, 1:]]), 1)
-    feats = [features(w, lexicon) for w in vocabulary]
-    cols = np.concatenate([np.array(f, np.int64) for f in feats])
-    rows = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
-    used, cols = np.unique(cols, return_inverse=True)
-    flat_idx, flat_in = idx.ravel(), inside.ravel()
-    words, gold_flat = flat_idx[flat_in], gold.ravel()[flat_in]
-    gold_words = np.zeros((len(feats), k))
-    np.add.at(gold_words, (words, gold_flat), 1)
-    w, trans = np.zeros((len(used), k)), np.eye(k) * 2
-    state = [(np.zeros_like(w), np.zeros_like(w)), (np.zeros_like(trans), np.zeros_like(trans))]
-    n = int(length.sum())
-    for step in range(1, ROUNDS + 1):
-        em = np.add.reduceat(w[cols], starts, axis=0)
-        g, pair = forward_backward(em[idx], trans, length)
-        g = g.reshape(-1, k)[flat_in]
-        expected = np.stack([np.bincount(words, weights=g[:, j], minlength=len(feats)) for j in range(k)], 1)
-        d = (gold_words - expected)[rows]
-        gw = np.stack([np.bincount(cols, weights=d[:, j], minlength=len(used)) for j in range(k)], 1) / n - 1e-6 * w
-        gt = (gold_pairs - pair) / n - 1e-5 * trans
-        for p, grad, (m, v), rate in ((w, gw, state[0], 0.15), (trans, gt, state[1], 0.15)):
-            m *= 0.9
-            m += 0.1 * grad
-            v *= 0.98
-            v += 0.02 * grad * grad
-            p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
-    weights = np.zeros((DIMS, k), np.float32)
-    weights[used] = w
-    return Model(weights, trans, lexicon)
+    batches = [_Batch(seqs[i::BATCHES], list(vocabulary), lexicon) for i in range(BATCHES) if seqs[i::BATCHES]]
+    w, trans = np.zeros((WEIGHTS, k), np.float32), np.eye(k, dtype=np.float32) * 2
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, trans)]
+    mean_w, mean_trans, taken, step = np.zeros_like(w), np.zeros_like(trans), 0, 0
+    for epoch in range(EPOCHS):
+        for batch in batches:
+            step += 1
+            gw, gt = batch.gradient(w, trans)
+            for x, grad, (m, v), shrink in ((w, gw, moments[0], 1e-6), (trans, gt, moments[1], 1e-5)):
+                grad -= np.float32(shrink) * x
+                m += np.float32(0.1) * (grad - m)
+                v += np.float32(0.02) * (grad * grad - v)
+                x += np.float32(0.15 / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.98**step)) + np.float32(1e-8))
+            if epoch == EPOCHS - 1:  # the mean over the last epoch is steadier than its end
+                taken += 1
+                mean_w += (w - mean_w) / taken
+                mean_trans += (trans - mean_trans) / taken
+    return Model(mean_w, mean_trans, lexicon)
+
+
+class _Batch:
+    """Some of the training sequences, with the features of their words."""
+
+    def __init__(self, seqs: list[list[tuple[np.ndarray, int]]], vocabulary: list[str], lexicon: dict[str, int]) -> None:
+        k = len(LANGUAGES)
+        seqs = sorted(seqs, key=lambda s: sum(len(p) for p, _ in s))
+        self.length = np.array([sum(len(p) for p, _ in s) for s in seqs])
+        own, flat = np.unique(np.concatenate([p for s in seqs for p, _ in s]), return_inverse=True)
+        gold = np.concatenate([np.full(len(p), c) for s in seqs for p, c in s])
+        self.n, self.words, self.end = len(gold), len(own), np.cumsum(self.length)
+        self.flat = flat.astype(np.int64)
+        self.gold_words = np.bincount(flat * k + gold, minlength=len(own) * k).reshape(-1, k)
+        inner = np.ones(self.n - 1, bool)
+        inner[self.end[:-1] - 1] = False
+        self.gold_pairs = np.bincount((gold[:-1] * k + gold[1:])[inner], minlength=k * k).reshape(k, k)
+        self.groups = features([vocabulary[i] for i in own], lexicon)
+        # the same features by weight, for the gradient; and the places of the text by word
+        word, col = (np.concatenate(x) for x in zip(*self.groups))
+        order = np.argsort(col, kind="stable")
+        self.word, col = word[order], col[order]
+        self.first = np.flatnonzero(np.diff(col, prepend=-1))
+        self.col = col[self.first]
+        self.by_word = np.argsort(self.flat, kind="stable")
+        self.first_of_word = np.flatnonzero(np.diff(self.flat[self.by_word], prepend=-1))
+
+    def gradient(self, w: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean log likelihood of a word."""
+        em = _scored(self.groups, w, self.words)
+        prob, pair = np.empty((self.n, len(LANGUAGES)), np.float32), np.zeros((len(LANGUAGES),) * 2)
+        for at in range(0, len(self.length), 1024):
+            length = self.length[at : at + 1024]
+            a, z = self.end[at] - length[0], self.end[at + len(length) - 1]
+            here = np.arange(length[-1])[None, :] < length[:, None]
+            part = np.zeros(here.shape, np.int64)
+            part[here] = self.flat[a:z]
+            g, p = forward_backward(em[part.T].transpose(1, 0, 2), trans, length)
+            prob[a:z] = g[here]
+            pair += p
+        d = self.gold_words - np.add.reduceat(prob[self.by_word], self.first_of_word, axis=0)
+        gw = np.zeros_like(w)
+        gw[self.col] = np.add.reduceat(d.astype(np.float32)[self.word], self.first, axis=0) / np.float32(self.n)
+        return gw, ((self.gold_pairs - pair) / self.n).astype(np.float32)
 
 
 def _garbled(line: str) -> bool:
-    high = sum("\u0080" <= ch <= "ÿ" for ch in line)
-    return "�" in line or high > 0.25 * len(line) or _MOJIBAKE.search(line) is not None
+    return "�" in line or len(_HIGH.findall(line)) > 0.25 * len(line) or _MOJIBAKE.search(line) is not None
 
 
 def _relabelled(lines: list[tuple[list[str], int, int]], rounds: int = 8) -> list[tuple[list[str], int, int]]:
@@ -300,23 +395,39 @@ def fit(sample: list[tuple[str, list[str]]]) -> Model:
     lines = [(tokens(x), LANGUAGES.index(lang), doc) for doc, (lang, xs) in enumerate(sample) for x in xs if not _garbled(x)]
     lines = _relabelled([x for x in lines if len(x[0]) >= 3])
     if not lines:
-        return Model(np.zeros((DIMS, len(LANGUAGES)), np.float32), np.zeros((len(LANGUAGES),) * 2), {})
+        return Model(np.zeros((WEIGHTS, len(LANGUAGES)), np.float32), np.zeros((len(LANGUAGES),) * 2), {})
     return _train([(ws, y) for ws, y, _ in lines], _lexicon(lines))
 
 
 def sample(docs: DataFrame, doc_id: str, text: str, label: str) -> list[tuple[str, list[str]]]:
-    """About SAMPLE_DOCS documents per language of the label, by hash of the id; at most SAMPLE_LINES counted lines of each."""
+    """SAMPLE_DOCS documents per language of the label (all, if there are fewer), those with the smallest hashes of id and text; of each at
+    most SAMPLE_LINES whole counted lines of at most SAMPLE_CHARS characters, by hash as well.
+
+    However many documents a language has, the hash's range is 63 bits wide, so the share that is asked for doesn't vanish; if a language
+    that labels name comes out without any document all the same, that is an error.
+    """
     named = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), label_column(F.col(f"`{label}`")).alias("y"))
     count = {r[0]: r[1] for r in named.where("y is not null").groupBy("y").count().collect()}  # a row per language
     if not count:
         return []
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    place = F.shiftrightunsigned(F.xxhash64("id", F.length("t")), 1)
     chosen = F.lit(False)
     for y, n in sorted(count.items()):
-        chosen = chosen | ((F.col("y") == y) & (place < int(1_000_000 * min(1.0, SAMPLE_DOCS / n))))
-    lines = F.slice(F.filter(F.split("t", "\n"), lambda x: F.length(x) >= MIN_LINE), 1, SAMPLE_LINES)
-    rows = named.where(chosen & F.col("t").isNotNull()).select("id", "y", F.transform(lines, lambda x: F.substring(x, 1, SAMPLE_CHARS)).alias("lines"))
-    return [(r["y"], list(r["lines"])) for r in sorted(rows.collect(), key=lambda r: r["id"])]
+        chosen = chosen | ((F.col("y") == y) & (place <= sample_limit(n)))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.length(x).between(MIN_LINE, SAMPLE_CHARS))
+    some = F.transform(F.slice(F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, SAMPLE_LINES), lambda x: x["x"])
+    rows = named.where(chosen).select("y", place.alias("h"), "id", F.coalesce(some, F.array().cast("array<string>")).alias("lines"))
+    by: dict[str, list] = {}
+    for r in rows.collect():  # about 1.5 * SAMPLE_DOCS rows per language
+        by.setdefault(r["y"], []).append((r["h"], r["id"] is None, r["id"] or 0, list(r["lines"])))
+    if missing := sorted(set(count) - set(by)):
+        raise RuntimeError(f"no sample of labelled documents for {missing}")
+    return [(y, x[3]) for y in sorted(by) for x in sorted(by[y])[:SAMPLE_DOCS]]
+
+
+def sample_limit(n: int) -> int:
+    """The largest of the 63-bit hashes that are looked at where n documents have a label: half as many again as are taken, or all."""
+    return (1 << 63) - 1 if n <= 1.5 * SAMPLE_DOCS else ((1 << 63) * 3 * SAMPLE_DOCS) // (2 * n)
 
 
 def _bytes(text: str, charset: str) -> bytes:
@@ -341,7 +452,7 @@ def repaired(model: Model, lines: list[str]) -> list[list[str]]:
         return plain
     total = sum(len(w) for ws in plain for w in ws)
     base = sum(model.known(ws) for ws in plain)
-    if base > 0.75 * total:
+    if base > SURE_SHARE * total:
         return plain
     best, best_share = None, (base / total if total else 0.0) + 0.05
     for read in READ_AS:
@@ -358,6 +469,8 @@ def repaired(model: Model, lines: list[str]) -> list[list[str]]:
             share = sum(model.known(ws) for ws in toks) / n if n else 0.0
             if share > best_share:
                 best, best_share = toks, share
+                if share > SURE_SHARE:
+                    return best
     return best or plain
 
 

@@ -1,5 +1,8 @@
 """Spans of a test side of any size, and what the language model is trained on."""
 
+import numpy as np
+import pytest
+
 from freshet.llm import langid, leaks
 
 
@@ -12,7 +15,31 @@ def test_spans_beyond_the_bound(spark, sf, monkeypatch):
 
 
 def test_size_of_the_sample(spark):
-    text = "\n".join(f"{i} " + "word " * 100 for i in range(8))
+    lines = [f"{i} " + "word " * 100 for i in range(8)] + ["long " * 1000, "short"]
+    text = "\n".join(lines)
     rows = spark.createDataFrame([(i, text, "en") for i in range(180)], "doc_id long, text string, lang string")
     got = langid.sample(rows, "doc_id", "text", "lang")
-    assert len(got) == 180 and all(len(lines) == 6 and len(lines[0]) == 400 for _, lines in got)
+    assert len(got) == 180 and all(len(some) == langid.SAMPLE_LINES and set(some) <= set(lines[:8]) for _, some in got)  # whole lines
+
+
+def test_sample_of_any_size(spark, monkeypatch):
+    for n in (1, 300, 10**6, 150_000_001, 10**10, 10**13):
+        want = min(n, 1.5 * langid.SAMPLE_DOCS)
+        assert abs(langid.sample_limit(n) / 2**63 * n - want) < 1e-3 * want + 1
+    text = "many words of one language make a line that is long enough to be counted at all"
+    rows = spark.createDataFrame([(i, text, "en" if i % 3 else "de") for i in range(6000)] + [(9000, None, "fr"), (9001, "x", "xx")], "doc_id long, text string, lang string")
+    got = [y for y, _ in langid.sample(rows, "doc_id", "text", "lang")]
+    assert got.count("en") == got.count("de") == langid.SAMPLE_DOCS and got.count("fr") == 1 and len(got) == 2 * langid.SAMPLE_DOCS + 1
+    monkeypatch.setattr(langid, "sample_limit", lambda n: -1)
+    with pytest.raises(RuntimeError):
+        langid.sample(rows, "doc_id", "text", "lang")
+
+
+def test_features_of_long_and_odd_words():
+    ws = ["a", "Donau" * 40, "橋", "é", "ab"]
+    together = langid._scored(langid.features(ws, {"ab": 3}), np.eye(langid.WEIGHTS, 7, dtype=np.float32), len(ws))
+    for i, w in enumerate(ws):  # a word's features don't depend on the words beside it
+        alone = langid._scored(langid.features([w], {"ab": 3}), np.eye(langid.WEIGHTS, 7, dtype=np.float32), 1)
+        assert np.allclose(alone[0], together[i])
+        mine = sorted(int(c) for g, cols in langid.features(ws, {"ab": 3}) for k, c in zip(g, cols) if k == i)
+        assert mine == sorted(int(c) for _, cols in langid.features([w], {"ab": 3}) for c in cols)
