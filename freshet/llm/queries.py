@@ -157,8 +157,8 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """All documents without the leaked spans: doc_id, n_chars before and after, and a hash of what is left."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("chars_before"))
-    x = leaks.without_spans(docs, "doc_id", "text", p9_spans(spark, d))
+    docs, *rest = _sides(spark, d)
+    x = leaks.cleaned(docs.select("doc_id", "text", F.length("text").alias("chars_before")), *rest)
     return x.select("doc_id", "chars_before", F.length("text").alias("chars_after"), F.md5("text").alias("text_md5"))
 
 

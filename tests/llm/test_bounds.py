@@ -6,12 +6,16 @@ import pytest
 from freshet.llm import langid, leaks
 
 
-def test_spans_beyond_the_bound(spark, sf, monkeypatch):
-    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
-    spans = lambda: sorted(map(tuple, leaks.leaked_spans(docs, "doc_id", "text", items, "item_id", "passage").collect()))
-    want = spans()
-    monkeypatch.setattr(leaks, "MAX_NGRAMS", 1)
-    assert want and spans() == want
+def test_both_ways_agree(spark, sf, monkeypatch):
+    """A test side of any size: documents, items, spans and cleaned texts are the same."""
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{sf}/eval_items.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 50").selectExpr("doc_id", "concat('again ', text) text", "lang")).unionByName(docs.where("doc_id < 9").selectExpr("cast(null as long) doc_id", "text", "lang"))
+    sides = (docs, "doc_id", "text", items, "item_id", "passage")
+    rows = lambda f: sorted(map(str, f(*sides).collect()))
+    every = (leaks.leaked, leaks.leaked_spans, leaks.cleaned)
+    want = [rows(f) for f in every]
+    monkeypatch.setattr(leaks, "MAX_NGRAMS", 0)
+    assert all(want) and [rows(f) for f in every] == want
 
 
 def test_size_of_the_sample(spark):

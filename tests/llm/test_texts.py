@@ -83,6 +83,8 @@ def test_spans_and_cleaning(spark):
     clean = {x.doc_id: x.text for x in leaks.without_spans(d, "doc_id", "text", spans).collect()}
     assert clean[1].split() == ["before.", ".", "after"] and clean[12] == docs[12] and clean[10] is None and clean[9] == ""
     assert leaks.leaked(leaks.without_spans(d, "doc_id", "text", spans), "doc_id", "text", i, "item_id", "passage").count() == 0
+    once = leaks.cleaned(d, "doc_id", "text", i, "item_id", "passage")
+    assert once.columns == d.columns and {x.doc_id: x.text for x in once.collect()} == clean
 
 
 def test_words_in_place():
