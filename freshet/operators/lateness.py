@@ -1,15 +1,18 @@
 """Event-time periods that are corrected by late records, with low watermarks per source.
 
-Every record is also a punctuation of its source: once a record of a source has arrived at time t, that source's low watermark is t.
-For a period with end E (exclusive) and a source s
+An arrival of a source is also a punctuation: once something of it has arrived after time t, nothing of it is still to come that arrived
+up to t, and its low watermark is t. For a period with end E (exclusive)
 
 * E + `on_time` is the bound up to which (inclusive) records make up the first result,
-* E + `cutoff` is the bound up to which (inclusive) late records correct it; s passes it with its first arrival beyond,
-* records that arrive beyond are diverted: they are counted apart and never change the result.
-
-Over all sources a period closes when every source has passed its bound; a source from which nothing has come for `idle_timeout` no
-longer holds it open. classify() and period_results() need one shuffle of partial sums, combined map-side; closures() only looks at
-the first and last arrival of each source and slot.
+* E + `cutoff` is the bound up to which (inclusive) late records correct it,
+* a source releases the period when its low watermark reaches E + `cutoff`; one from which nothing has come for `idle_timeout` no longer
+  holds it,
+* the period closes when every source has released it. What arrives after that is diverted; so are the records of a source that has
+  passed its own bound while others still hold the period open. Diverted records are counted apart and never change the result.
+
+Scale: bounds lie on a grid of time (the ends of periods, and those + `on_time`), so all records of a source and period that arrive in one
+cell of the grid meet the same watermark. They are combined map-side into that cell; watermarks and closings are worked out from the
+cells, whose number follows time and sources, not records. A source that holds a third of all records has as many cells as a quiet one.
 """
 
 from __future__ import annotations
@@ -19,42 +22,94 @@ from pyspark.sql import functions as F
 
 from freshet.util import c
 
-ON_TIME, LATE, DROPPED = "on_time", "late", "dropped"
+IDLE_MS = 1_800_000
 
 
 def period_start(event: Column, length: int) -> Column:
-    return F.floor(event / F.lit(length)).cast("long") * length if length == 1 else (event - F.pmod(event, F.lit(length))).cast("long")
+    return (event - F.pmod(event, F.lit(length))).cast("long")
 
 
-def watermark_class(period: Column, arrival: Column, length: int, on_time: int, cutoff: int) -> Column:
-    """Where the source's low watermark, moved to `arrival` by this very record, stands against the bounds of the period."""
-    end = period + F.lit(length)
-    return F.when(arrival <= end + on_time, F.lit(ON_TIME)).when(arrival <= end + cutoff, F.lit(LATE)).otherwise(F.lit(DROPPED))
+def low_watermark(arrival: Column, length: int, on_time: int, cutoff: int) -> Column:
+    """The last bound of any period that a source has passed by an arrival: the largest point of the grid before it."""
+    last = arrival - 1
+    within = F.pmod(last, F.lit(length))
+    offsets = sorted({on_time % length, cutoff % length})
+    at = F.lit(offsets[-1] - length)
+    for o in offsets:
+        at = F.when(within >= o, F.lit(o)).otherwise(at)
+    return (last - within + at).cast("long")
 
 
-def _staged(df: DataFrame, source: str, event: str, arrival: str, length: int, on_time: int, cutoff: int, sums: dict[str, str]) -> DataFrame:
-    x = df.select(c(source).alias("_src"), c(event).cast("long").alias("_ev"), c(arrival).cast("long").alias("_ar"), *[F.coalesce(c(v).cast("long"), F.lit(0).cast("long")).alias(f"_v{i}") for i, v in enumerate(sums.values())])
-    x = x.where("_src is not null and _ev is not null and _ar is not null").withColumn("_p", period_start(F.col("_ev"), length))
-    return x.withColumn("_c", watermark_class(F.col("_p"), F.col("_ar"), length, on_time, cutoff))
+def _cells(df: DataFrame, source: str, event: str, arrival: str, length: int, on_time: int, cutoff: int, sums: dict[str, str]) -> DataFrame:
+    """_src, _p (period), _wm (the source's low watermark when the records come), _slot (of the grid of period ends), _n, _min and _max
+    (arrivals), _v0 ... (sums)."""
+    if cutoff % length:
+        raise ValueError("cutoff must be a multiple of length")
+    zero = F.lit(0).cast("long")
+    x = df.select(c(source).alias("_src"), c(event).cast("long").alias("_ev"), c(arrival).cast("long").alias("_ar"), *[F.coalesce(c(v).cast("long"), zero).alias(f"_v{i}") for i, v in enumerate(sums.values())])
+    x = x.where("_src is not null and _ev is not null and _ar is not null")
+    slot = F.floor(F.col("_ar") / F.lit(length)).alias("_slot")
+    keys = [period_start(F.col("_ev"), length).alias("_p"), low_watermark(F.col("_ar"), length, on_time, cutoff).alias("_wm"), slot]
+    return x.groupBy("_src", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_ar").alias("_min"), F.max("_ar").alias("_max"), *[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(sums))])
+
+
+def _closings(cells: DataFrame, length: int, cutoff: int, idle_timeout: int) -> DataFrame:
+    """_p, close_at, n_sources of each period that has a record."""
+    # All columns of the cells are asked for, so that this use and others have one plan and the cells are made once.
+    whole = " and ".join(["_n > 0", *(f"{v} is not null" for v in cells.columns if v.startswith("_v"))])
+    cells = cells.where(whole)
+    slots = cells.groupBy("_src", "_slot").agg(F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+    w = Window.partitionBy("_src").orderBy("_slot")
+    nxt = slots.select("_slot", "_max", F.lead("_slot").over(w).alias("_next"), F.lead("_min").over(w).alias("_next_min"))
+    # Bounds between two slots of a source that it holds open: those before its idle timeout ends. At most idle_timeout / length + 1.
+    first, idle = F.col("_slot") + 1, F.floor((F.col("_max") + idle_timeout - 1) / F.lit(length))
+    held = nxt.withColumn("_to", F.least(F.coalesce(F.col("_next"), idle), idle)).where(F.col("_to") >= first)
+    held = held.select("_max", "_next_min", F.explode(F.sequence(first, F.col("_to"))).alias("_b"))
+    release = F.least(F.coalesce(F.col("_next_min"), F.lit(2**62)), F.col("_max") + idle_timeout)
+    bound = F.col("_b") * length
+    held = held.groupBy((bound - cutoff - length).alias("_p")).agg(F.max(F.greatest(bound, release)).alias("_close"))
+    # one number per source: in which slot it was first heard of
+    heard = cells.groupBy("_src").agg(F.min("_slot").alias("_s")).agg(F.sort_array(F.collect_list("_s"))).scalar()
+    seen = cells.select("_p").distinct().join(held, "_p", "left")
+    end = F.col("_p") + length + cutoff
+    n = F.size(F.filter("_heard", lambda s: s * length < end)).cast("long")
+    return seen.withColumn("_heard", heard).select("_p", F.coalesce("_close", end).alias("close_at"), n.alias("n_sources"))
+
+
+def closures(df: DataFrame, source: str, event: str, arrival: str, length: int, cutoff: int, idle_timeout: int = IDLE_MS) -> DataFrame:
+    """One row per period that has a record: period_start, close_at and n_sources. A period closes at the latest of its sources'
+    releases; a source releases the bound B = period end + cutoff with its first arrival at or after B or, if it is idle by then, at
+    B or when its idle timeout ends, whichever is later. Sources that haven't been heard of before B don't hold it; n_sources counts
+    the others.
 
+    `cutoff` must be a multiple of `length`, so that the bounds of all periods lie on one grid. Other rules as in period_results().
+    """
+    return _closings(_cells(df, source, event, arrival, length, 0, cutoff, {}), length, cutoff, idle_timeout).withColumnRenamed("_p", "period_start")
 
-def period_results(df: DataFrame, source: str, event: str, arrival: str, length: int, on_time: int, cutoff: int, sums: dict[str, str] | None = None) -> DataFrame:
+
+def period_results(df: DataFrame, source: str, event: str, arrival: str, length: int, on_time: int, cutoff: int, sums: dict[str, str] | None = None, idle_timeout: int = IDLE_MS) -> DataFrame:
     """One row per source and period: `source`, period_start, n_first and n_final (records in the first and in the corrected result),
-    n_late, n_dropped, for each entry of `sums` (name -> column) name_first, name_final and name_dropped, and closed_at: the first
-    arrival of the source beyond the period's cut-off that brought a record of this period, NULL if none did.
+    n_late, n_dropped, for each entry of `sums` (name -> column) name_first, name_final and name_dropped, closed_at: the first
+    arrival of the source beyond the period's cut-off that brought a record of this period, NULL if none did; and close_at: when every
+    source had released the period, by the rules of closures().
 
     Records whose source, event time or arrival time is NULL are left out; NULL counters count as 0; repeated records count again.
-    An empty input gives an empty result. Other columns of the input are not looked at.
+    An empty input gives an empty result. Other columns of the input are not looked at. `cutoff` must be a multiple of `length`.
     """
     sums = sums or {}
-    x = _staged(df, source, event, arrival, length, on_time, cutoff, sums)
-    first, late, dropped = (F.col("_c") == k for k in (ON_TIME, LATE, DROPPED))
-    aggs = [F.count_if(first).alias("n_first"), F.count_if(~dropped).alias("n_final"), F.count_if(late).alias("n_late"), F.count_if(dropped).alias("n_dropped")]
-    zero = F.lit(0).cast("long")
+    cells = _cells(df, source, event, arrival, length, on_time, cutoff, sums)
+    x = cells.join(_closings(cells, length, cutoff, idle_timeout).select("_p", "close_at"), "_p")
+    end = F.col("_p") + length
+    # closed by all sources, or passed by its own: a period is never closed before its cut-off
+    dropped = (F.col("_min") > F.col("close_at")) | (F.col("_wm") >= end + cutoff)
+    first = ~dropped & (F.col("_wm") < end + on_time)
+    x = x.withColumn("_dropped", dropped).withColumn("_first", first)
+    dropped, first, zero = F.col("_dropped"), F.col("_first"), F.lit(0).cast("long")
+    total = lambda when, v: F.sum(F.when(when, F.col(v)).otherwise(zero))
+    aggs = [total(first, "_n").alias("n_first"), total(~dropped, "_n").alias("n_final"), total(~dropped & ~first, "_n").alias("n_late"), total(dropped, "_n").alias("n_dropped")]
     for i, name in enumerate(sums):
-        v = F.col(f"_v{i}")
-        aggs += [F.sum(F.when(first, v).otherwise(zero)).alias(f"{name}_first"), F.sum(F.when(~dropped, v).otherwise(zero)).alias(f"{name}_final"), F.sum(F.when(dropped, v).otherwise(zero)).alias(f"{name}_dropped")]
-    out = x.groupBy("_src", "_p").agg(*aggs, F.min(F.when(dropped, F.col("_ar"))).alias("closed_at"))
+        aggs += [total(first, f"_v{i}").alias(f"{name}_first"), total(~dropped, f"_v{i}").alias(f"{name}_final"), total(dropped, f"_v{i}").alias(f"{name}_dropped")]
+    out = x.groupBy("_src", "_p").agg(*aggs, F.min(F.when(dropped, F.col("_min"))).alias("closed_at"), F.max("close_at").alias("close_at"))
     return out.withColumnsRenamed({"_src": source, "_p": "period_start"})
 
 
@@ -63,25 +118,3 @@ def verdicts(results: DataFrame, source: str) -> DataFrame:
     that was diverted."""
     kinds = F.array_compact(F.array(F.when(F.col("n_late") > 0, F.lit("corrected")), F.when(F.col("n_dropped") > 0, F.lit("dropped"))))
     return results.select(c(source), "period_start", F.explode(kinds).alias("verdict"))
-
-
-def closures(df: DataFrame, source: str, event: str, arrival: str, length: int, cutoff: int, idle_timeout: int) -> DataFrame:
-    """One row per period that has a record: period_start, close_at and n_sources. A period closes at the latest of its sources'
-    releases; a source releases the bound B = period end + cutoff with its first arrival at or after B or, if it is idle by then, at
-    B or when its idle timeout ends, whichever is later. Sources that haven't been heard of before B don't hold it.
-
-    `cutoff` must be a multiple of `length`, so that the bounds of all periods lie on one grid. Other rules as in period_results().
-    """
-    if cutoff % length:
-        raise ValueError("cutoff must be a multiple of length")
-    x = _staged(df, source, event, arrival, length, 0, cutoff, {})
-    # What a source did within a slot of the grid is known by its first and last arrival: few rows for each source, however many records.
-    slots = x.groupBy("_src", F.floor(F.col("_ar") / F.lit(length)).alias("_slot")).agg(F.min("_ar").alias("_min"), F.max("_ar").alias("_max"))
-    w = Window.partitionBy("_src").orderBy("_slot")
-    last_slot = x.groupBy().agg(F.max(F.floor(F.greatest(F.col("_ar"), F.col("_p") + length + cutoff) / F.lit(length)))).scalar()
-    nxt = slots.select("_src", "_slot", "_max", F.lead("_slot").over(w).alias("_next"), F.lead("_min").over(w).alias("_next_min"))
-    bounds = nxt.select("_max", "_next_min", F.explode(F.sequence(F.col("_slot") + 1, F.coalesce(F.col("_next"), F.greatest(last_slot, F.col("_slot")) + 1))).alias("_b"))
-    release = F.least(F.coalesce(F.col("_next_min"), F.lit(2**62)), F.greatest(F.col("_b") * length, F.col("_max") + idle_timeout))
-    held = bounds.select((F.col("_b") * length - cutoff - length).alias("period_start"), release.alias("_r")).groupBy("period_start").agg(F.max("_r").alias("close_at"), F.count(F.lit(1)).alias("n_sources"))
-    seen = x.select(F.col("_p").alias("period_start")).distinct()
-    return seen.join(held, "period_start", "left").select("period_start", F.coalesce(F.col("close_at"), F.col("period_start") + length + cutoff).alias("close_at"), F.coalesce("n_sources", F.lit(0).cast("long")).alias("n_sources"))

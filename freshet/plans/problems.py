@@ -48,7 +48,7 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_periods(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.period_results(_arrivals(spark, d), "exporter_id", "end_ms", "received_ms", PERIOD_MS, ON_TIME_MS, CUTOFF_MS, {"packets": "in_packets", "bytes": "in_bytes"}).withColumnRenamed("period_start", "period_start_ms")
+    return lateness.period_results(_arrivals(spark, d), "exporter_id", "end_ms", "received_ms", PERIOD_MS, ON_TIME_MS, CUTOFF_MS, {"packets": "in_packets", "bytes": "in_bytes"}, IDLE_MS).withColumnRenamed("period_start", "period_start_ms")
 
 
 def p5_closures(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p5_closures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    r = lateness.period_results(_arrivals(spark, d), "exporter_id", "end_ms", "received_ms", PERIOD_MS, ON_TIME_MS, CUTOFF_MS)
+    r = lateness.period_results(_arrivals(spark, d), "exporter_id", "end_ms", "received_ms", PERIOD_MS, ON_TIME_MS, CUTOFF_MS, idle_timeout=IDLE_MS)
     return lateness.verdicts(r, "exporter_id").withColumnRenamed("period_start", "period_start_ms")
 
 
@@ -102,6 +102,14 @@ with f as (select exporter_id, greatest(first_ms, last_ms) // {PERIOD_MS} * {PER
            from flows where {_TIMED} and received_ms is not null),
 g as (select *, case when r <= p + {PERIOD_MS + ON_TIME_MS} then 0 when r <= p + {PERIOD_MS + CUTOFF_MS} then 1 else 2 end c from f)
 """
+# when every source that was heard of before the bound b has released it
+_CLOSED = f"""
+, d as (select distinct exporter_id, r from f), e as (select distinct exporter_id from f), q as (select distinct p, p + {PERIOD_MS + CUTOFF_MS} b from f),
+h as (select q.p, q.b, d.exporter_id, d.r last_r from (q cross join e) qe (p, b, exporter_id) asof join d on qe.exporter_id = d.exporter_id and qe.b > d.r join q on q.p = qe.p),
+k as (select h.p, max(least(coalesce(d.r, 9000000000000000000), greatest(h.b, h.last_r + {IDLE_MS}))) close_at, count(*) n_sources
+      from h asof left join d on h.exporter_id = d.exporter_id and h.b <= d.r group by h.p),
+z as (select q.p, coalesce(close_at, q.b) close_at, coalesce(n_sources, 0) n_sources from q left join k on k.p = q.p)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -112,10 +120,11 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _PERIODS + f"select src4, e gap_start_ms, nx gap_end_ms from (select src4, e, lead(s) over (partition by src4 order by s) nx from p) where nx - e <= {GAP_LIMIT_MS}",
         "p4_periods": _PERIODS + "select src4, s period_start, e period_end from p",
         "p5_found": _LATE + "select distinct exporter_id, p period_start_ms, case c when 1 then 'corrected' else 'dropped' end verdict from g where c > 0",
-        "p5_periods": _LATE
+        "p5_periods": _LATE + _CLOSED
         + "select exporter_id, p period_start_ms, count(*) filter (where c = 0) n_first, count(*) filter (where c < 2) n_final, count(*) filter (where c = 1) n_late, count(*) filter (where c = 2) n_dropped, "
         + ", ".join(f"cast(sum(case when {w} then {v} else 0 end) as bigint) {n}_{x}" for v, n in (("k", "packets"), ("b", "bytes")) for w, x in (("c = 0", "first"), ("c < 2", "final"), ("c = 2", "dropped")))
-        + ", min(case when c = 2 then r end) closed_at from g group by exporter_id, p",
+        + ", min(case when c = 2 then r end) closed_at, any_value(close_at) close_at from g join z using (p) group by exporter_id, p",
+        "p5_closures": _LATE + _CLOSED + "select p period_start, close_at, n_sources from z",
         "p7_found": "with k as (select 'exporter_id' field, cast(exporter_id as bigint) as key from flows union all select 'src4', src4 from flows) select field, key from k where key is not null group by field, key having 100 * count(*) >= 4 * (select count(*) from flows)",
         "p7_totals": "with k as (select 'exporter_id' field, cast(exporter_id as bigint) as key, in_packets, in_bytes from flows union all select 'src4', src4, in_packets, in_bytes from flows) select field, key, count(*) n_flows, cast(sum(in_packets) as bigint) sum_packets, cast(sum(in_bytes) as bigint) sum_bytes, max(in_bytes) max_bytes from k group by field, key",
     }
