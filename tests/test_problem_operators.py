@@ -67,7 +67,7 @@ def periods_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize(("seed", "span", "longest", "bits"), [(1, 5000, 60, 23), (2, 800, 30, 4), (3, 10**13, 10**7, 23), (4, 300, 3, 2)])
+@pytest.mark.parametrize(("seed", "span", "longest", "bits"), [(1, 5000, 60, 23), (2, 800, 30, 4), (3, 10**13, 10**7, 23), (4, 300, 3, 2), (5, 200_000, 300, 4), (6, 90_000, 150, 2)])
 def test_periods_and_gaps(spark, monkeypatch, seed, span, longest, bits):
     monkeypatch.setattr(intervals, "TILE_BITS", bits)
     rows = random_rows(seed, 600, span=span, longest=longest)
@@ -81,6 +81,25 @@ def test_periods_and_gaps(spark, monkeypatch, seed, span, longest, bits):
     assert got == sorted((k, p[1], q[0]) for k, ps in by.items() for p, q in zip(ps, ps[1:]))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_above_tiles(spark, monkeypatch, seed):
+    """Long intervals over short ones: what lies in tiles that a larger block covers is gone, before and after zero."""
+    monkeypatch.setattr(intervals, "TILE_BITS", 3)
+    monkeypatch.setattr(intervals.canonical_runs, "__defaults__", (3,))
+    r = random.Random(seed)
+    rows = [(r.choice("ab"), (s := r.randrange(-3000, 6000)), s + r.choice([0, 0, 1, 2, r.randrange(700)]), None) for _ in range(150)]
+    by = periods_by_hand(rows)
+    df = spark.createDataFrame([x[:3] for x in rows], "k string, s long, e long").repartition(3)
+    assert sorted(map(tuple, intervals.periods(df, "k", "s", "e").collect())) == sorted((k, *p) for k, ps in by.items() for p in ps)
+    assert sorted(map(tuple, intervals.gaps(df, "k", "s", "e").collect())) == sorted((k, p[1], q[0]) for k, ps in by.items() for p, q in zip(ps, ps[1:]))
+
+
+def test_an_interval_of_fifty_years_is_few_rows(spark):
+    df = spark.createDataFrame([("x", 1, 1_710_000_000_000), ("y", 10**17, 10**17 + 5), ("z", 2**61, 2**61 + 1)], "k string, s long, e long")
+    assert intervals._tile_runs(df, "k", "s", "e").where("k = 'x'").count() < 200
+    assert sorted(map(tuple, intervals.periods(df, "k", "s", "e").collect())) == [("x", 1, 1_710_000_000_000), ("y", 10**17, 10**17 + 5)]
+
+
 def test_touching_intervals(spark):
     df = spark.createDataFrame([("x", 1, 5), ("x", 5, 9), ("x", 10, 10), ("y", 3, 3)], "k string, s long, e long")
     assert sorted(map(tuple, intervals.periods(df, "k", "s", "e").collect())) == [("x", 1, 9), ("x", 10, 10), ("y", 3, 3)]
