@@ -110,8 +110,9 @@ def summarize(df: DataFrame, kinds: dict[str, tuple[str, str | None]], eps: floa
 
 
 def merge(summaries: DataFrame) -> DataFrame:
-    """Adds summaries (of tasks, days, tables): same columns again, one row per item and one with item NULL for each kind."""
-    return summaries.groupBy("kind", "item").agg(*[F.sum(x).alias(x) for x in ("count", "slack", "missed", "total")])
+    """Adds summaries (of tasks, days, tables): same columns again, one row per item and one with item NULL for each kind; and `head`, true
+    for the latter. A task has dropped all it may by its own bound before, so what is shuffled are its (1/eps) * log(eps * n) entries."""
+    return summaries.groupBy("kind", "item").agg(*[F.sum(x).alias(x) for x in ("count", "slack", "missed", "total")], F.bool_or(F.col("item").isNull()).alias("head"))
 
 
 def intervals(merged: DataFrame, share: float, eps: float) -> DataFrame:
@@ -122,9 +123,12 @@ def intervals(merged: DataFrame, share: float, eps: float) -> DataFrame:
     """
     if share <= eps:
         raise ValueError("share must exceed eps")
-    totals = merged.where("item is null").select("kind", F.col("missed").alias("all_missed"), F.col("total").alias("all_total"))
+    # Sums of what is never negative. Said here, and `head` asked instead of the key, so that both uses below have one plan and the
+    # summaries are made once.
+    merged = merged.where("count >= 0 and slack >= 0 and missed >= 0 and total >= 0")
+    totals = merged.where("head").select("kind", F.col("missed").alias("all_missed"), F.col("total").alias("all_total"))
     # one row per kind
-    x = merged.where("item is not null").join(F.broadcast(totals), "kind")
+    x = merged.where("not head").join(F.broadcast(totals), "kind")
     x = x.select("kind", "item", F.col("count").alias("lower"), (F.col("count") + F.col("all_missed") - F.col("slack")).alias("upper"), F.col("all_total").alias("total"))
     return x.where((F.col("total") > 0) & (F.col("upper") >= F.lit(share) * F.col("total")))
 

@@ -45,6 +45,8 @@ def words(text: str) -> list[str]:
 
 def placed_words(text: str) -> list[tuple[str, int, int]]:
     """Words with the part text[start:end] of the original they come from; marks and format characters at a word's edge go with it."""
+    if text.isascii():
+        return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text.lower())]
     out: list[tuple[str, int, int]] = []
     cur, start, end = [], 0, 0
     for i, ch in enumerate(text):

@@ -9,8 +9,9 @@ Backfill: harmonic containers of large items keep free space by design (up to ha
 packed among themselves, the largest that still fit are put there. An item is never split unless it alone exceeds the capacity; then
 its full parts fill containers and the rest is an item.
 
-Scale: only ids and sizes are shuffled, never texts. Workers are hash buckets of rows, about ITEMS_PER_WORKER each, so their number
-grows with the table and no worker's group does.
+Scale: texts are read once and only ids and sizes are shuffled. Workers are hash buckets of the parts of items, about ITEMS_PER_WORKER
+each, so their number grows with the table and no worker's group does; part p of the items is spread over as many more of them as there
+can be parts like it. Which worker an item goes to depends on the item alone, so containers don't change with the files' splits.
 """
 
 from __future__ import annotations
@@ -118,25 +119,26 @@ def _round(x: DataFrame, last: bool) -> DataFrame:
 def assign(items: DataFrame, item_id: str, size: str, containers: DataFrame, container_class: str, capacity: str) -> DataFrame:
     """container_class, item_id, part, n_parts, size, container_id: where each part of each item lies, for each class of containers.
 
-    `containers` is a short fixed list of classes. Items whose id or size is NULL are left out; size 0 takes no space. Equal items
-    are packed each for itself. An empty table fills no container. Classes whose capacity is NULL or below 1 are left out.
+    `containers` is a short fixed list of classes. Ids should be unique; rows of one id and size go to one worker, each packed for
+    itself. Items whose id or size is NULL are left out; size 0 takes no space. An empty table fills no container. Classes whose capacity is NULL or below 1 are left out.
     """
     kinds = containers.where(c(capacity) >= 1).agg(F.collect_list(F.struct(c(container_class).alias("container_class"), c(capacity).cast("long").alias("cap")))).scalar()
     workers = F.greatest(F.ceil(items.groupBy().count().scalar() / F.lit(ITEMS_PER_WORKER)), F.lit(1).cast("long"))
     x = items.select(c(item_id).cast("long").alias("id"), c(size).cast("long").alias("size")).where("id is not null and size is not null")
-    x = x.select("id", "size", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), workers).alias("worker"), F.explode(kinds).alias("k"))
+    x = x.select("id", "size", F.explode(kinds).alias("k")).select("k.container_class", "k.cap", "id", "size")
     full = F.greatest(F.floor((F.col("size") - 1) / F.col("cap")).cast("long"), F.lit(0).cast("long"))
-    x = x.select("k.container_class", "k.cap", "id", "size", "worker").withColumn("full", full)
-    parts = x.where("full > 0").select("container_class", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("part"), (F.col("full") + 1).alias("n_parts"), F.col("cap").alias("size"))
-    whole = parts.withColumn("container_id", F.concat_ws(":", "container_class", F.lit("part"), "id", "part"))
-    rest = x.select("container_class", "cap", "id", (F.col("full") + 1).alias("n_parts"), F.col("full").alias("part"), (F.col("size") - F.col("full") * F.col("cap")).alias("size"), "worker")
+    x = x.withColumn("full", full).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
+    # Parts 2^j - 1 .. 2^(j+1) - 2 have 2^j times as many workers, numbered from workers * 2^j on.
+    lanes = workers * F.pow(F.lit(2), F.floor(F.log2(F.col("part") + 1))).cast("long")
+    # a part of full size is packed like any other and fills a container by itself
+    part_size = F.when(F.col("part") < F.col("full"), F.col("cap")).otherwise(F.col("size") - F.col("full") * F.col("cap"))
+    rest = x.select("container_class", "cap", "id", (F.col("full") + 1).alias("n_parts"), "part", part_size.alias("size"), (F.pmod(F.xxhash64("id", "size", "part"), lanes) + lanes).alias("worker"))
     first = _round(rest, last=False)
     second = _round(first.where("not complete").withColumn("worker", F.floor(F.col("worker") / WORKERS_PER_ROUND)).drop("bin", "complete"), last=True)
     name = lambda r: F.concat_ws(":", "container_class", F.lit(r), F.col("worker"), F.col("bin"))
     cols = ["container_class", "id", "part", "n_parts", "size", "container_id"]
     return (
-        whole.select(*cols)
-        .unionByName(first.where("complete").withColumn("container_id", name("first")).select(*cols))
+        first.where("complete").withColumn("container_id", name("first")).select(*cols)
         .unionByName(second.withColumn("container_id", name("second")).select(*cols))
         .withColumnRenamed("id", item_id)
     )

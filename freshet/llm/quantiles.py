@@ -9,13 +9,14 @@ rmax. The first and last tuple are the minimum and the maximum, so for any rank
   uncertainty of the result is at most the sum of the parts' uncertainties, so the relative error doesn't grow by merging.
 * compress: after each merge tuples are dropped again within the error permitted at that level of the hierarchy. Levels get growing
   shares of eps, hence the error of any summary is at most eps*n, and the error it really has is carried in its tuples.
+* hierarchy: whoever merges a group holds fewer than FAN_IN summaries of each level; FAN_IN of one level become one of the next.
+  Memory for a group is bounded however many tasks report it.
 
 Everything is deterministic. Summaries of days, partitions or exporters are ordinary rows and can be stored and merged later.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,9 +79,29 @@ def bounds(v: np.ndarray, rmin: np.ndarray, rmax: np.ndarray, rank: int) -> tupl
     return int(v[lo]), int(v[hi]), int(v[best]), int(off.min())
 
 
-def eps_of_level(eps: float, level: int, levels: int) -> float:
-    """Share of the error that summaries of a level may have: half at the leaves, all at the root."""
-    return eps * (0.5 + 0.5 * level / max(levels, 1))
+def eps_of_level(eps: float, level: int) -> float:
+    """Share of the error that summaries of a level may have: half at the leaves, ever nearer to all of it above."""
+    return eps * (1 - 0.5 ** (level + 1))
+
+
+class Hierarchy:
+    """Summaries of one group, merged FAN_IN at a time."""
+
+    def __init__(self, eps: float) -> None:
+        self.eps, self.levels = eps, []
+
+    def add(self, part: tuple[np.ndarray, np.ndarray, np.ndarray, int], level: int = 0) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(part)
+        if len(self.levels[level]) == FAN_IN:
+            v, lo, hi, n = merge(self.levels[level])
+            self.levels[level] = []
+            self.add((*compress(v, lo, hi, 2 * eps_of_level(self.eps, level + 1) * n), n), level + 1)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        v, lo, hi, n = merge([p for x in self.levels for p in x])
+        return (*compress(v, lo, hi, 2 * self.eps * n), n)
 
 
 def _summaries(keys: list[str], eps: float):
@@ -154,25 +175,43 @@ def summarize(df: DataFrame, keys: list[str], value: str, eps: float) -> DataFra
 
 
 def merge_summaries(s: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """One merged summary per group of `keys` (any subset of the columns), compressed to eps."""
+    """One merged summary per group of `keys` (any subset of the columns), compressed to eps. Groups come sorted and are merged as they
+    pass, so no task holds a group's summaries all at once."""
     schema = T.StructType([*[s.schema[k] for k in keys], *SUMMARY_FIELDS])
+    target = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tree = None, Hierarchy(eps)
+        rows: dict[str, list] = {f.name: [] for f in target}
+
+        def close() -> None:
+            if current is not None:
+                v, lo, hi, n = tree.whole()
+                for name, x in zip(rows, (*(None if k is _NAN else k for k in current), n, v, lo, hi)):
+                    rows[name].append(x)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.asarray(r.v, np.int64), np.asarray(r.rmin, np.int64), np.asarray(r.rmax, np.int64), int(r.n)) for r in pdf.itertuples()]
-        v, lo, hi, n = merge(parts)
-        v, lo, hi = compress(v, lo, hi, 2 * eps * n)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [n], "v": [v], "rmin": [lo], "rmax": [hi]})
+        for b in batches:
+            key = list(zip(*[[_NAN if x != x else x for x in b.column(k).to_pylist()] for k in keys]))
+            lists = [b.column(x) for x in ("v", "rmin", "rmax")]
+            ends = [x.offsets.to_numpy() for x in lists]
+            flat = [x.values.to_numpy() for x in lists]
+            for i, n in enumerate(b.column("n").to_pylist()):
+                if key[i] != current:
+                    close()
+                    current, tree = key[i], Hierarchy(eps)
+                tree.add((*(f[e[i] : e[i + 1]] for f, e in zip(flat, ends)), n))
+            if len(rows["n"]) >= 1000:
+                yield pa.RecordBatch.from_pydict(rows, schema=target)
+                rows = {f.name: [] for f in target}
+        close()
+        if rows["n"]:
+            yield pa.RecordBatch.from_pydict(rows, schema=target)
 
-    return s.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInPandas(one, schema)
+    by = [F.col(f"`{k}`") for k in keys]
+    return s.select(*by, "n", "v", "rmin", "rmax").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def hierarchical(s: DataFrame, keys: list[str], eps: float, parts: int) -> DataFrame:
-    """Merges the summaries of `parts` tasks in levels of FAN_IN, so that no task ever holds more than FAN_IN summaries of a group."""
-    levels = max(1, math.ceil(math.log(max(parts, 2), FAN_IN)))
-    for level in range(1, levels):
-        s = s.withColumn("part", F.floor(F.col("part") / FAN_IN))
-        s = merge_summaries(s, [*keys, "part"], eps_of_level(eps, level, levels))
-    return merge_summaries(s, keys, eps)
+_NAN = "not a number"  # equal to itself, as a key must be
 
 
 def group_summaries(df: DataFrame, keys: list[str], value: str, eps: float = 0.005) -> DataFrame:
@@ -182,7 +221,7 @@ def group_summaries(df: DataFrame, keys: list[str], value: str, eps: float = 0.0
     Columns other than those named are not looked at.
     """
     x = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{value}`"))
-    return hierarchical(summarize(x, keys, value, eps / 2), keys, eps, x.rdd.getNumPartitions())
+    return merge_summaries(summarize(x, keys, value, eps / 2), keys, eps)
 
 
 def percentiles(s: DataFrame, keys: list[str], pcts: list[int]) -> DataFrame:

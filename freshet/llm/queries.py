@@ -50,19 +50,16 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """The summaries decide all groups whose level lies outside the bounds of the percentile; for the others the rows up to the level
-    are counted."""
+    """Groups whose percentile may exceed its level by the bounds of the summaries; for those the rows up to the level are counted."""
     x = _values(spark, d)
     keys = ["exporter_id", "day", "metric"]
     s = quantiles.group_summaries(x, keys, "value", PCT_EPS).where(F.col("n") >= MIN_VALUES)
     levels = table(spark, d, "pct_levels").select("exporter_id", (F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric")) - 1).cast("int").alias("metric"), "pct", "level_value")
-    p = quantiles.percentiles(s, keys, [50, 90]).join(levels, ["exporter_id", "metric", "pct"])
-    sure = p.where("lower > level_value").select(*keys, "pct")
-    open_ = p.where("lower <= level_value and upper > level_value").select(*keys, "pct", "n", "level_value")
-    # as many rows as pct_levels has for each day at most: a fixed table times the days, whatever the number of flows
-    counted = x.join(F.broadcast(open_), keys).groupBy(*keys, "pct", "n", "level_value").agg(F.count_if(F.col("value") <= F.col("level_value")).alias("below"))
-    proven = counted.where(F.col("below") < F.ceil(F.col("pct") * F.col("n") / 100)).select(*keys, "pct")
-    return sure.unionByName(proven).select("exporter_id", day_text(F.col("day")).alias("flow_day"), _metric_name(F.col("metric")).alias("metric"), "pct")
+    may = quantiles.percentiles(s, keys, [50, 90]).join(levels, ["exporter_id", "metric", "pct"]).where("upper > level_value").select(*keys, "pct", "n", "level_value")
+    # at most as many rows as pct_levels, a fixed table, has for each day: they grow with the days, not with the flows
+    counted = x.join(F.broadcast(may), keys).groupBy(*keys, "pct", "n", "level_value").agg(F.count_if(F.col("value") <= F.col("level_value")).alias("below"))
+    proven = counted.where(F.col("below") < F.ceil(F.col("pct") * F.col("n") / 100))
+    return proven.select("exporter_id", day_text(F.col("day")).alias("flow_day"), _metric_name(F.col("metric")).alias("metric"), "pct")
 
 
 # --- 2: most frequent items
