@@ -1,8 +1,9 @@
-"""Streaming form of the late-event operator: periods per source, closed by the source's own low watermark.
+"""Streaming form of the late-event operator: periods per source, corrected by late records and closed by low watermarks.
 
 State is kept per (source, period): sums only, so a hot period costs no more than a quiet one. Each batch's records are combined per
-(source, period, class) before they reach the state. A period's result is emitted when it is first published and again with each
-correction; records beyond the cut-off are counted in `n_dropped` and change nothing.
+(source, period, class) in the tasks that read them, before anything is shuffled or reaches the state. A period's result is emitted when it
+is first published and again with each correction; records beyond the cut-off are counted in `n_dropped` and change nothing, whether the
+period's state is still there or not.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from freshet.operators.lateness import period_start, watermark_class
+from freshet.operators.lateness import low_watermark, period_start, whole_div
 
 OUT = "source long, period_start long, revision int, n_final long, packets long, bytes long, n_late long, n_dropped long"
 STATE = "revision int, n_final long, packets long, bytes long, n_late long, n_dropped long"
@@ -31,29 +32,35 @@ def corrected_periods(stream: DataFrame, source: str, event: str, arrival: str,
     zero = F.lit(0).cast("long")
     x = stream.select(F.col(source).cast("long").alias("source"), F.col(event).cast("long").alias("ev"), F.col(arrival).cast("long").alias("ar"), F.coalesce(F.col(packets), zero).alias("p"), F.coalesce(F.col(size), zero).alias("b"))
     x = x.where("source is not null and ev is not null and ar is not null").withColumn("period", period_start(F.col("ev"), length))
-    x = x.withColumn("c", watermark_class(F.col("period"), F.col("ar"), length, on_time, cutoff)).withColumn("ts", F.timestamp_millis("ar")).withWatermark("ts", delay)
+    end, passed = F.col("period") + length, low_watermark(F.col("ar"), length, on_time, cutoff)
+    x = x.withColumn("c", F.when(passed >= end + cutoff, 2).when(passed >= end + on_time, 1).otherwise(0)).withColumn("ts", F.timestamp_millis("ar"))
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.groupby(["source", "period", "c"]).agg(n=("p", "size"), p=("p", "sum"), b=("b", "sum"), ts=("ts", "max")).reset_index()
+
+    few = x.mapInPandas(combine, "source long, period long, c int, n long, p long, b long, ts timestamp").withWatermark("ts", delay)
+    names = [c.split()[0] for c in OUT.split(", ")]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         ends = int(key[1]) + length + cutoff
-        names = [c.split()[0] for c in OUT.split(", ")]
+        got = pd.concat(list(frames))
+        kept = got[got["c"] < 2]
+        late, dropped = int(got.loc[got["c"] == 1, "n"].sum()), int(got.loc[got["c"] == 2, "n"].sum())
         if not state.exists and state.getCurrentWatermarkMs() > ends:  # the period's result is out and forgotten, or it never had one
-            n = sum(len(f) for f in frames)
-            yield pd.DataFrame([(key[0], key[1], None, None, None, None, None, n)], columns=names).astype(object)
+            yield pd.DataFrame([(*key, None, None, None, None, None, dropped + int(kept["n"].sum()))], columns=names).astype(object)
             return
-        rev, n, p, b, late, dropped = state.get if state.exists else (0, 0, 0, 0, 0, 0)
-        for f in frames:
-            kept = f[f["c"] != "dropped"]
-            n, p, b = n + len(kept), p + int(kept["p"].sum()), b + int(kept["b"].sum())
-            late += int((f["c"] == "late").sum())
-            dropped += len(f) - len(kept)
-        state.update((rev + 1, n, p, b, late, dropped))
+        before = state.get if state.exists else (0, 0, 0, 0, 0, 0)
+        now = (before[0] + 1, before[1] + int(kept["n"].sum()), before[2] + int(kept["p"].sum()), before[3] + int(kept["b"].sum()), before[4] + late, before[5] + dropped)
+        state.update(now)
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], key[1], rev + 1, n, p, b, late, dropped)], columns=names)
+        yield pd.DataFrame([(*key, *now)], columns=names)
 
-    return x.groupBy("source", "period").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return few.groupBy("source", "period").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def closed_periods(stream: DataFrame, source: str, event: str, arrival: str, length: int, cutoff: int, idle_timeout: int, delay: str = "1 hour") -> DataFrame:
@@ -67,7 +74,7 @@ def closed_periods(stream: DataFrame, source: str, event: str, arrival: str, len
         raise ValueError("cutoff must be a multiple of length")
     x = stream.select(F.col(source).cast("long").alias("source"), F.col(event).cast("long").alias("ev"), F.col(arrival).cast("long").alias("ar"))
     x = x.where("source is not null and ev is not null and ar is not null").withColumn("ts", F.timestamp_millis("ar"))
-    x = x.select("source", period_start(F.col("ev"), length).alias("period"), F.floor(F.col("ar") / F.lit(length)).alias("slot"), "ar", "ts")
+    x = x.select("source", period_start(F.col("ev"), length).alias("period"), whole_div(F.col("ar"), length).alias("slot"), "ar", "ts")
 
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
