@@ -29,6 +29,11 @@ def period_start(event: Column, length: int) -> Column:
     return (event - F.pmod(event, F.lit(length))).cast("long")
 
 
+def whole_div(x: Column, by: int) -> Column:
+    """Rounded down, in whole numbers."""
+    return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by))
+
+
 def low_watermark(arrival: Column, length: int, on_time: int, cutoff: int) -> Column:
     """The last bound of any period that a source has passed by an arrival: the largest point of the grid before it."""
     last = arrival - 1
@@ -48,21 +53,21 @@ def _cells(df: DataFrame, source: str, event: str, arrival: str, length: int, on
     zero = F.lit(0).cast("long")
     x = df.select(c(source).alias("_src"), c(event).cast("long").alias("_ev"), c(arrival).cast("long").alias("_ar"), *[F.coalesce(c(v).cast("long"), zero).alias(f"_v{i}") for i, v in enumerate(sums.values())])
     x = x.where("_src is not null and _ev is not null and _ar is not null")
-    slot = F.floor(F.col("_ar") / F.lit(length)).alias("_slot")
-    keys = [period_start(F.col("_ev"), length).alias("_p"), low_watermark(F.col("_ar"), length, on_time, cutoff).alias("_wm"), slot]
-    return x.groupBy("_src", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_ar").alias("_min"), F.max("_ar").alias("_max"), *[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(len(sums))])
+    x = x.withColumns({"_p": period_start(F.col("_ev"), length), "_wm": low_watermark(F.col("_ar"), length, on_time, cutoff), "_slot": whole_div(F.col("_ar"), length)})
+    keys = ["_p", "_wm", "_slot"]
+    values = {"_n": F.count(F.lit(1)), "_min": F.min("_ar"), "_max": F.max("_ar")} | {f"_v{i}": F.sum(f"_v{i}") for i in range(len(sums))}
+    cells = x.where("_p is not null and _slot is not null").groupBy("_src", *keys).agg(*[v.alias(n) for n, v in values.items()])
+    # True of every row and cell; all columns are asked for, so that all uses of the cells have one plan and they are made once.
+    return cells.where(" and ".join(["_n > 0", *(f"{n} is not null" for n in list(values)[1:])]))
 
 
 def _closings(cells: DataFrame, length: int, cutoff: int, idle_timeout: int) -> DataFrame:
     """_p, close_at, n_sources of each period that has a record."""
-    # All columns of the cells are asked for, so that this use and others have one plan and the cells are made once.
-    whole = " and ".join(["_n > 0", *(f"{v} is not null" for v in cells.columns if v.startswith("_v"))])
-    cells = cells.where(whole)
     slots = cells.groupBy("_src", "_slot").agg(F.min("_min").alias("_min"), F.max("_max").alias("_max"))
     w = Window.partitionBy("_src").orderBy("_slot")
     nxt = slots.select("_slot", "_max", F.lead("_slot").over(w).alias("_next"), F.lead("_min").over(w).alias("_next_min"))
     # Bounds between two slots of a source that it holds open: those before its idle timeout ends. At most idle_timeout / length + 1.
-    first, idle = F.col("_slot") + 1, F.floor((F.col("_max") + idle_timeout - 1) / F.lit(length))
+    first, idle = F.col("_slot") + 1, whole_div(F.col("_max") + idle_timeout - 1, length)
     held = nxt.withColumn("_to", F.least(F.coalesce(F.col("_next"), idle), idle)).where(F.col("_to") >= first)
     held = held.select("_max", "_next_min", F.explode(F.sequence(first, F.col("_to"))).alias("_b"))
     release = F.least(F.coalesce(F.col("_next_min"), F.lit(2**62)), F.col("_max") + idle_timeout)
