@@ -129,7 +129,8 @@ def intervals(merged: DataFrame, share: float, eps: float) -> DataFrame:
     totals = merged.where("head").select("kind", F.col("missed").alias("all_missed"), F.col("total").alias("all_total"))
     # one row per kind
     x = merged.where("not head").join(F.broadcast(totals), "kind")
-    x = x.select("kind", "item", F.col("count").alias("lower"), (F.col("count") + F.col("all_missed") - F.col("slack")).alias("upper"), F.col("all_total").alias("total"))
+    # never NULL here; said so that no test for it goes down into one of the two uses
+    x = x.select("kind", F.coalesce("item", F.lit(0)).alias("item"), F.col("count").alias("lower"), (F.col("count") + F.col("all_missed") - F.col("slack")).alias("upper"), F.col("all_total").alias("total"))
     return x.where((F.col("total") > 0) & (F.col("upper") >= F.lit(share) * F.col("total")))
 
 
