@@ -3,20 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from freshet.filterlang.compiler import apply_filter
+from freshet.filterlang.compiler import apply_filter, derived
+from freshet.filterlang.parser import parse
 from freshet.operators import aggregate as agg
 from freshet.operators import stat, summary
+from freshet.operators.enrich import Lookups
 from freshet.output import json as json_out
 from freshet.output import tokens
-from freshet.schema import normalise
+from freshet.schema import DERIVED, normalise
+
+# output token -> columns that lookups fill
+SHOWN = {
+    "sc": ["src_geo"], "dc": ["dst_geo"], "gsa": ["src_geo"], "gda": ["dst_geo"], "gsap": ["src_geo"], "gdap": ["dst_geo"], "stor": ["src_tor"], "dtor": ["dst_tor"], "sas": ["src_as"], "das": ["dst_as"],
+    "sloc": ["src_location"], "dloc": ["dst_location"], "sasn": ["src_org"], "dasn": ["dst_org"],
+}
 
 
 class Flows:
-    """A table of flow records and what has been asked of it so far; every step gives a new one."""
+    """A table of flow records and what has been asked of it so far; every step gives a new one.
+
+    Countries, exit nodes and AS numbers that a filter, statistic, key or format asks for are looked up in `lookups`. A filter, statistic
+    or key on a country or exit node that neither the table nor `lookups` knows is an error; formats show `..` there. AS numbers
+    that are missing count as 0 without a table.
+    """
 
-    def __init__(self, df: DataFrame, keys: str | None = None, zone: str = "UTC") -> None:
-        self.df, self.keys, self.zone = df, keys, zone
+    def __init__(self, df: DataFrame, keys: str | None = None, zone: str = "UTC", lookups: Lookups | None = None) -> None:
+        self.df, self.keys, self.zone, self.lookups = df, keys, zone, lookups or Lookups()
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, **how) -> Flows:
@@ -25,10 +39,26 @@ class Flows:
         return cls(normalise(files.read(spark, path, **how)))
 
     def _new(self, df: DataFrame, keys: str | None = None) -> Flows:
-        return Flows(df, keys or self.keys, self.zone)
+        return Flows(df, keys or self.keys, self.zone, self.lookups)
+
+    def filled(self, columns, must: bool = True) -> Flows:
+        """With derived columns that the table lacks: by lookup, or from the payload."""
+        df = self.df
+        for c in sorted(columns):
+            what = {"as": "as", "org": "as", "tor": "tor"}.get(c.rpartition("_")[2], "geo")
+            if c in ("ja3", "ja4", "ja4s"):
+                df = df if c in df.columns else _fingerprint(df, c)
+            elif c in df.columns and what != "as":
+                continue
+            elif self.lookups.has(what):
+                df = self.lookups.fill(df, c)
+            elif must and what != "as":
+                raise ValueError(f"{c} is asked for, but there is no table to look it up in")
+        return self._new(df)
 
     def filter(self, text: str) -> Flows:
-        return self._new(apply_filter(self.df, text, self.zone))
+        f = self.filled(derived(parse(text)))
+        return self._new(apply_filter(f.df, text, self.zone))
 
     def window(self, start_ms: int, end_ms: int) -> Flows:
         from freshet.sources.files import in_window
@@ -39,7 +69,9 @@ class Flows:
         return self._new(self.df.orderBy("rec_no").limit(n))
 
     def aggregate(self, keys: str | None = None, first: list[str] | None = None) -> Flows:
-        return self._new(agg.aggregate(self.df, keys, first), keys)
+        names = [x.strip().lower().partition("/")[0] for x in (keys or "").split(",")]
+        df = self.filled({c for n in names for c in agg.KEYS.get(n, ()) if c in DERIVED or c in ("src_as", "dst_as")}).df
+        return self._new(agg.aggregate(df, keys, first), keys)
 
     def bidirectional(self) -> Flows:
         return self._new(agg.bidirectional(self.df))
@@ -55,7 +87,9 @@ class Flows:
         return self.top(0, order)
 
     def stat(self, *requests: str, n: int = 10) -> DataFrame:
-        return stat.top_n(self.df, list(requests), n)
+        names = {stat.parse_request(r).name for r in requests}
+        df = self.filled({c for n in names for c in stat.ELEMENTS[n][1] if c in DERIVED or c in ("src_as", "dst_as")}).df
+        return stat.top_n(df, list(requests), n)
 
     def summary(self) -> DataFrame:
         return summary.summary(self.df)
@@ -66,10 +100,15 @@ class Flows:
         return self._new(anonymize(self.df, key, side))
 
     def fmt(self, text: str | None = None, **how) -> DataFrame:
-        return tokens.fmt(self.df, text or (tokens.auto_format(self.keys) if self.keys else "line"), **how)
+        text = text or (tokens.auto_format(self.keys) if self.keys else "line")
+        return tokens.fmt(self._shown(text, how), text, **how)
 
     def csv(self, text: str = "csv", **how) -> DataFrame:
-        return tokens.csv(self.df, text, **how)
+        return tokens.csv(self._shown(text, how), text, **how)
+
+    def _shown(self, text: str, how: dict) -> DataFrame:
+        asked = {c for kind, x in tokens.parts(text, how.get("user")) if kind == "token" for c in SHOWN.get(x, ())}
+        return self.filled(asked, must=False).df
 
     def ndjson(self) -> DataFrame:
         return json_out.ndjson(self.df)
@@ -78,3 +117,10 @@ class Flows:
         from freshet.sources import files
 
         files.write(self.df, path, **how)
+
+
+def _fingerprint(df: DataFrame, name: str) -> DataFrame:
+    from freshet.functions import payload
+    from freshet.schema import field
+
+    return df.withColumn(name, F.coalesce(*[payload.tls(field(df, p))[name] for p in ("in_payload", "out_payload")]))

@@ -375,13 +375,20 @@ def compile_filter(text: str, df: DataFrame, zone: str = "UTC") -> Column:
 
 
 def needs(tree) -> set[str]:
-    """What the flows must be enriched with before the filter can run: geo, tor."""
-    out = set()
+    """What the flows must be enriched with before the filter can run: geo, tor, as."""
+    return {"as" if c.endswith("_as") else c.rpartition("_")[2] for c in derived(tree)}
+
+
+def derived(tree) -> set[str]:
+    """The columns that lookups fill and the filter reads."""
+    out: set[str] = set()
     for t in terms(tree):
         if t.name == "geo":
-            out.add("geo")
-        if t.name == "ip" and isinstance(t.value, str) and t.value.lower() == "tor":
-            out.add("tor")
+            out |= set(GEO.get(t.direction, ()))
+        elif t.name == "ip" and isinstance(t.value, str) and t.value.lower() == "tor":
+            out |= {f"{side}_tor" for side in ("src", "dst") if t.direction in ("", side)}
+        elif t.name == "as" and t.direction in ("", "src", "dst"):
+            out |= {f"{side}_as" for side in ("src", "dst") if t.direction in ("", side)}
     return out
 
 

@@ -93,11 +93,9 @@ def aggregate(df: DataFrame, keys: str | None = None, first: list[str] | None =
     if "tcp_flags" in exprs:
         made = made[:-1]
     if first:
-        made.append(F.min_by(F.struct(*[field(df, c).alias(c) for c in first]), F.col("rec_no")).alias("_first"))
-    out = df.groupBy(*[e.alias(n) for n, e in exprs.items()]).agg(*made)
-    if first:
-        out = out.select(*[c for c in out.columns if c != "_first"], *[F.col(f"_first.{c}").alias(c) for c in first if c not in exprs])
-    return out
+        # one by one: plain values fit a hash aggregate's buffer, a struct of them makes it a sort
+        made += [F.min_by(field(df, c), F.col("rec_no")).alias(c) for c in first if c not in exprs]
+    return df.groupBy(*[e.alias(n) for n, e in exprs.items()]).agg(*made)
 
 
 _SIDES = [("src4", "dst4"), ("src6", "dst6"), ("src_port", "dst_port")]
@@ -168,6 +166,23 @@ def ordered(df: DataFrame, order: str, ties: list[str] | None = None) -> DataFra
     return df.orderBy(v.asc() if up else v.desc(), *[F.col(t).asc_nulls_first() for t in ties or []])
 
 
+def tops(df: DataFrame, orders: list[str], n: int, ties: list[str] | None = None) -> DataFrame:
+    """The first n rows by each of several orders, with `ord` and `rank`: one aggregate serves them all. Rows are ranked within each task
+    before anything is shuffled, so a list costs n rows of each task."""
+    from pyspark.sql import Window
+
+    cases = []
+    for o in orders:
+        name, _, way = o.partition(":")
+        v = order_value(df, name).cast("long")
+        up = way == "a" or (not way and name in ("tstart", "tend"))
+        cases.append(F.struct(F.lit(o).alias("ord"), (v if up else -v).alias("v")))
+    x = df.withColumn("_o", F.explode(F.array(*cases)))
+    w = Window.partitionBy("_o.ord").orderBy(F.col("_o.v"), *[F.col(t).asc_nulls_first() for t in ties or []])
+    x = x.withColumn("rank", F.row_number().over(w)).withColumn("ord", F.col("_o.ord")).drop("_o")
+    return x.where(F.col("rank") <= n) if n else x
+
+
 def top(df: DataFrame, order: str, n: int, ties: list[str] | None = None, post_filter: str | None = None, filter_first: bool = False) -> DataFrame:
     """The first n rows by `order`. A post filter sees those n rows only, unless filter_first; n = 0 keeps all."""
     from freshet.filterlang.compiler import apply_filter

@@ -110,19 +110,26 @@ def _measure(name: str) -> Column:
 
 def statistics(df: DataFrame, requests: list[str]) -> DataFrame:
     """stat, proto (NULL unless split), key, first_ms, last_ms, flows, in/out packets and bytes: all values of all requested elements."""
+    return _grouped(df, requests).drop("whole")
+
+
+def _grouped(df: DataFrame, requests: list[str], with_total: bool = False) -> DataFrame:
+    """statistics(); with_total, also a row for all records, whose stat is NULL and `whole` true."""
     reqs = [parse_request(r) for r in requests]
     if not 1 <= len(reqs) <= MAX_STATS:
         raise ValueError(f"between 1 and {MAX_STATS} statistics")
     wanted = list(dict.fromkeys((r.name, r.by_proto) for r in reqs))
-    entries = []
+    entry = lambda i, proto, n, t: F.struct(F.lit(i).alias("sid"), proto.alias("proto"), n.alias("kl"), t.alias("kt"))
+    none = F.lit(None).cast("int")
+    entries = [entry(-1, none, F.lit(0).cast("long"), F.lit(None).cast("string"))] if with_total else []
     for i, (name, split) in enumerate(wanted):
-        proto = field(df, "proto").cast("int") if split else F.lit(None).cast("int")
-        entries += [F.struct(F.lit(i).alias("sid"), proto.alias("proto"), n.alias("kl"), t.alias("kt")) for n, t in _sources(df, name)]
+        entries += [entry(i, field(df, "proto").cast("int") if split else none, n, t) for n, t in _sources(df, name)]
     zero = F.lit(0).cast("long")
     counts = [F.coalesce(field(df, n), zero).alias(n) for n in ("in_packets", "in_bytes", "out_packets", "out_bytes")]
     x = df.select("first_ms", "last_ms", weight(field(df, "cnt_flows")).alias("flows"), *counts, F.explode(F.array(*entries)).alias("e"))
     g = x.select("e.*", "*").where("kl is not null or kt is not null").groupBy("sid", "proto", "kl", "kt")
-    g = g.agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *[F.sum(n).alias(n) for n in ("flows", "in_packets", "in_bytes", "out_packets", "out_bytes")])
+    sums = ["flows", "in_packets", "in_bytes", "out_packets", "out_bytes"]
+    g = g.agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *[F.sum(n).alias(n) for n in sums], F.bool_or(F.col("sid") < 0).alias("whole"))
     names = F.array(*[F.lit(name + (":p" if split else "")) for name, split in wanted])
     return g.select(F.get(names, F.col("sid")).alias("stat"), "proto", _key_text([ELEMENTS[name][0] for name, _ in wanted]).alias("key"), *[c for c in g.columns if c not in ("sid", "proto", "kl", "kt")])
 
@@ -138,10 +145,12 @@ def top_n(df: DataFrame, requests: list[str], n: int = 10) -> DataFrame:
 
     n = 0 keeps all. Ties are broken by key. An element that no record has gives no row; an empty table gives none at all.
     """
-    values = statistics(df, requests)
-    zero = F.lit(0).cast("long")
-    t = df.agg(F.sum(weight(field(df, "cnt_flows"))).alias("f"), F.sum(F.coalesce(field(df, "in_packets"), zero) + F.coalesce(field(df, "out_packets"), zero)).alias("p"), F.sum(F.coalesce(field(df, "in_bytes"), zero) + F.coalesce(field(df, "out_bytes"), zero)).alias("b"))
-    total = t.select(F.struct("f", "p", "b")).scalar()
+    # Sums are never NULL and no time lies before all others: true of every row. All columns are asked for, and `whole` instead of the key, so
+    # that the totals and the values have one plan and the table is read once.
+    values = _grouped(df, requests, with_total=True)
+    values = values.where(" and ".join(f"coalesce({n}, 0L) > -9223372036854775808L" for n in ("first_ms", "last_ms", "flows", "in_packets", "in_bytes", "out_packets", "out_bytes")))
+    total = values.where("whole").agg(F.max(F.struct(F.col("flows").alias("f"), (F.col("in_packets") + F.col("out_packets")).alias("p"), (F.col("in_bytes") + F.col("out_bytes")).alias("b")))).scalar()
+    values = values.where("not whole")
     reqs = [parse_request(r) for r in requests]
     cases = []
     for r in reqs:

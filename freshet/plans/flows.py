@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet.filterlang.compiler import apply_filter, compile_filter
 from freshet.flowview import WIDE_SQL, flows, wide
+from freshet.functions import enums
 from freshet.operators import aggregate as agg
 from freshet.operators import enrich, stat, summary
 from freshet.output import json as json_out
@@ -20,6 +21,15 @@ WIDE = f"with w as ({WIDE_SQL}) "
 N4 = "(({0}) // 16777216) || '.' || (({0}) // 65536 % 256) || '.' || (({0}) // 256 % 256) || '.' || (({0}) % 256)"
 
 
+def text6_sql(h: str) -> str:
+    """Condensed text of an IPv6 address given as 32 hex digits: the first of the longest runs of zero groups is ::."""
+    groups = ", ".join(f"substr({h}, {1 + 4 * i}, 4)" for i in range(8))
+    s = f"regexp_replace(lower(concat_ws(':', {groups})), '(^|:)0{{1,3}}', '\\1', 'g')"
+    runs = [f"(^|:)0(:0){{{k - 1}}}(:|$)" for k in range(8, 1, -1)]
+    mapped = "'::ffff:' || " + " || '.' || ".join(f"cast(('0x' || substr({h}, {25 + 2 * i}, 2))::int as varchar)" for i in range(4))
+    return f"case when starts_with({h}, '00000000000000000000FFFF') then {mapped} " + " ".join(f"when regexp_matches({s}, '{r}') then regexp_replace({s}, '{r}', '::')" for r in runs) + f" else {s} end"
+
+
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
@@ -121,11 +131,6 @@ def agg_srcip6_48(spark: SparkSession, d: str) -> DataFrame:
     return agg.aggregate(flows(spark, d), "srcip6/48,proto")
 
 
-@query(f"select (src4 >> (32 - coalesce(src_mask, 0))) << (32 - coalesce(src_mask, 0)) src4, {TOT} from flows where src4 is not null group by 1")
-def agg_srcnet(spark: SparkSession, d: str) -> DataFrame:
-    return agg.aggregate(apply_filter(flows(spark, d), "ipv4"), "srcnet").drop("src6")
-
-
 _BITS, _DIGITS = "coalesce(src_mask, 0)", "'0123456789ABCDEF'"
 _NET4 = f"(src4 >> (32 - least({_BITS}, 32))) << (32 - least({_BITS}, 32))"
 _NIBBLE = f"(strpos({_DIGITS}, substr(hex(src6), {_BITS} // 4 + 1, 1)) - 1)"
@@ -133,7 +138,7 @@ _NET6 = f"case when src6 is not null then unhex(substr(substr(hex(src6), 1, {_BI
 
 
 @query(f"select {_NET4} src4, {_NET6} src6, {TOT} from flows group by 1, 2")
-def agg_srcnet_both(spark: SparkSession, d: str) -> DataFrame:
+def agg_srcnet(spark: SparkSession, d: str) -> DataFrame:
     return agg.aggregate(flows(spark, d), "srcnet")
 
 
@@ -182,25 +187,14 @@ def agg_guess_direction(spark: SparkSession, d: str) -> DataFrame:
     return agg.guess_direction(agg.aggregate(flows(spark, d), "srcport,dstport,proto"))
 
 
-@query(f"select src4, {TOT} from flows where src4 is not null group by 1 having sum(in_bytes) > 100000000")
-def agg_post_filter(spark: SparkSession, d: str) -> DataFrame:
-    return apply_filter(agg.aggregate(apply_filter(flows(spark, d), "ipv4"), "srcip4"), "bytes > 100m")
-
-
-@query(f"select * from (select src4, {TOT} from flows where src4 is not null group by 1 order by 5 desc, src4 limit 50) where in_packets > 100000")
-def top_then_post_filter(spark: SparkSession, d: str) -> DataFrame:
-    """A post filter sees the first rows only."""
-    g = agg.aggregate(apply_filter(flows(spark, d), "ipv4"), "srcip4")
-    return agg.top(g, "bytes", 50, ["src4"], "packets > 100k")
-
-
 @query(f"select src4, src6, {TOT} from flows group by 1, 2 having sum(in_bytes) > 100000000")
-def agg_post_filter_both(spark: SparkSession, d: str) -> DataFrame:
+def agg_post_filter(spark: SparkSession, d: str) -> DataFrame:
     return apply_filter(agg.aggregate(flows(spark, d), "srcip"), "bytes > 100m")
 
 
 @query(f"select * from (select src4, src6, {TOT} from flows group by 1, 2 order by 6 desc, src4 nulls first, src6 nulls first limit 50) where in_packets > 100000")
-def top_then_post_filter_both(spark: SparkSession, d: str) -> DataFrame:
+def top_then_post_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A post filter sees the first rows only."""
     return agg.top(agg.aggregate(flows(spark, d), "srcip"), "bytes", 50, ["src4", "src6"], "packets > 100k")
 
 
@@ -213,21 +207,11 @@ _ORDER_SQL |= {"pps": _RATE.format("(in_packets + out_packets) * 1000", _DUR), "
 @query(WIDE + f", g as (select src4, {TOTW} from w group by 1) " + " union all ".join(f"select * from (select '{o}' as ord, src4, in_bytes, out_bytes, cnt_flows from g order by {e} desc, src4 limit 10)" for o, e in _ORDER_SQL.items()))
 def top_orders(spark: SparkSession, d: str) -> DataFrame:
     g = agg.aggregate(wide(spark, d), "srcip4")
-    parts = [agg.top(g, o, 10, ["src4"]).select(F.lit(o).alias("ord"), "src4", "in_bytes", "out_bytes", "cnt_flows") for o in _ORDER_SQL]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("select rec_no, first_ms, in_bytes from (select * from flows where first_ms is not null order by first_ms, rec_no limit 200)")
-def sort_records(spark: SparkSession, d: str) -> DataFrame:
-    x = flows(spark, d).where("first_ms is not null")
-    return agg.top(x, "tstart", 200, ["rec_no"]).select("rec_no", "first_ms", "in_bytes")
+    return agg.tops(g, list(_ORDER_SQL), 10, ["src4"]).select("ord", "src4", "in_bytes", "out_bytes", "cnt_flows")
 
 
 @query("select rec_no, first_ms, in_bytes from flows where first_ms is not null order by first_ms, rec_no")
-def sort_records_all(spark: SparkSession, d: str) -> DataFrame:
+def sort_records(spark: SparkSession, d: str) -> DataFrame:
     x = flows(spark, d).where("first_ms is not null")
     return agg.top(x, "tstart", 0, ["rec_no"]).select("rec_no", "first_ms", "in_bytes")
 
@@ -235,8 +219,12 @@ def sort_records_all(spark: SparkSession, d: str) -> DataFrame:
 # --- statistics
 
 
+_SHOWN = f"case when regexp_full_match(key, '[0-9A-F]{{32}}') then {text6_sql('key')} else key end key"
+
+
 def _stat_sql(name: str, sources: list[str], order: str, n: int, table_: str = "flows", out: bool = False, split: bool = False) -> str:
-    """Top n of one element; sources are texts, NULL where a record has none."""
+    """Top n of one element; sources are texts (hex for IPv6 addresses until they are shown), NULL where a record has none."""
+    key = _SHOWN if any("hex(" in x for x in sources) and "ip" in name else "key"
     op, ob = ("coalesce(out_packets, 0)", "coalesce(out_bytes, 0)") if out else ("0", "0")
     cols = f"first_ms, last_ms, {_W} f, coalesce(in_packets, 0) + {op} p, coalesce(in_bytes, 0) + {ob} b"
     proto = "cast(proto as integer)" if split else "cast(null as integer)"
@@ -245,7 +233,7 @@ def _stat_sql(name: str, sources: list[str], order: str, n: int, table_: str = "
     return f"""(with x as ({src}), t as (select sum({_W}) f, sum(coalesce(in_packets, 0) + {op}) p, sum(coalesce(in_bytes, 0) + {ob}) b from {table_}),
         g as (select proto, key, min(first_ms) first_ms, max(last_ms) last_ms, cast(sum(f) as bigint) flows, cast(sum(p) as bigint) packets, cast(sum(b) as bigint) bytes from x where key is not null group by 1, 2),
         r as (select *, cast(row_number() over (order by {measure} desc, proto nulls first, key) as integer) rank from g)
-        select rank, '{name}' as stat, '{order}' as ord, proto, key, first_ms, last_ms, flows, packets, bytes, cast(flows * 10000 // t.f as bigint) flows_share, cast(packets * 10000 // t.p as bigint) packets_share,
+        select rank, '{name}' as stat, '{order}' as ord, proto, {key}, first_ms, last_ms, flows, packets, bytes, cast(flows * 10000 // t.f as bigint) flows_share, cast(packets * 10000 // t.p as bigint) packets_share,
           cast(bytes * 10000 // t.b as bigint) bytes_share, cast({_RATE.format('packets * 1000', _DUR)} as bigint) pps, cast({_RATE.format('bytes * 8000', _DUR)} as bigint) bps, cast({_RATE.format('bytes', 'packets')} as bigint) bpp
         from r, t where rank <= {n})"""
 
@@ -258,25 +246,14 @@ _num = lambda c: f"cast(coalesce({c}, 0) as varchar)"
 _ip = lambda c: f"case when {c} is not null then {N4.format(c)} end"
 
 
-@query(_stat_sql("srcip", [_ip("src4")], "bytes", 10, "(select * from flows where proto = 6 and dst_port = 443 and src4 is not null)"))
+@query(_stat_sql("srcip", [_ip("src4"), _v6("src6")], "bytes", 10, "(select * from flows where proto = 6 and dst_port = 443)"))
 def stat_srcip_https(spark: SparkSession, d: str) -> DataFrame:
-    """The ten IPv4 sources with most bytes over HTTPS; stat_srcip_https_both has both families."""
-    return stat.top_n(apply_filter(flows(spark, d), "ipv4 and proto tcp and dst port 443"), ["srcip/bytes"], 10)
-
-
-@query(_stat_sql("ip", [_ip("src4"), _ip("dst4")], "flows", 20, "(select * from flows where src4 is not null)"))
-def stat_ip_flows(spark: SparkSession, d: str) -> DataFrame:
-    return stat.top_n(apply_filter(flows(spark, d), "ipv4"), ["ip/flows"], 20)
-
-
-@query()
-def stat_srcip_https_both(spark: SparkSession, d: str) -> DataFrame:
     """The ten sources with most bytes over HTTPS, of both families."""
     return stat.top_n(apply_filter(flows(spark, d), "proto tcp and dst port 443"), ["srcip/bytes"], 10)
 
 
-@query()
-def stat_ip_flows_both(spark: SparkSession, d: str) -> DataFrame:
+@query(_stat_sql("ip", [_ip("src4"), _ip("dst4"), _v6("src6"), _v6("dst6")], "flows", 20))
+def stat_ip_flows(spark: SparkSession, d: str) -> DataFrame:
     return stat.top_n(flows(spark, d), ["ip/flows"], 20)
 
 
@@ -360,38 +337,82 @@ def profile_channels(spark: SparkSession, d: str) -> DataFrame:
 # --- lookups
 
 _BLOCKS = "select octet * 16777216 net_start, octet * 16777216 + 16777215 net_end, octet % 25 location_id from {seq} union all select octet * 16777216 + (octet * 7 % 256) * 65536, octet * 16777216 + (octet * 7 % 256) * 65536 + 65535, (octet + 3) % 25 from {seq}"
+# prefixes of IPv6 as beginnings of the hex text
+_BLOCKS6 = "select '20010DB80000' || {hex} net, 56 prefix_len, octet % 25 location_id from {seq} union all select '20010DB80000' || {hex} || {hex7}, 64, (octet + 3) % 25 from {seq} union all select 'FD', 8, 7"
+_SPARK6 = _BLOCKS6.format(seq="(select id as octet from range(1, 255))", hex="lpad(hex(octet), 2, '0')", hex7="lpad(hex(octet * 7 % 256), 2, '0')")
+_DUCK6 = _BLOCKS6.format(seq="(select range octet from range(1, 255))", hex="lpad(to_base(octet, 16), 2, '0')", hex7="lpad(to_base(octet * 7 % 256, 16), 2, '0')")
+
+
+def lookups(spark: SparkSession, d: str) -> enrich.Lookups:
+    """Prefixes of several lengths over both families, with a country of two letters for each of 25 locations, and exit nodes seen at the times of the flows."""
+    blocks4 = enrich.with_prefixes4(spark.sql(_BLOCKS.format(seq="(select id as octet from range(1, 255))")))
+    blocks6 = spark.sql(_SPARK6).select(F.unhex(F.rpad("net", 32, "0")).alias("net_start"), "prefix_len", "location_id")
+    places = spark.sql("select id location_id, concat(chr(65 + id), 'X') country from range(25)")
+    numbers = [b.select("net_start", "prefix_len", (F.col("location_id") + 65000).alias("asn")) for b in (blocks4, blocks6)]
+    seen = flows(spark, d).where("src4 is not null and first_ms > 0 and last_ms > 0 and proto = 17").select(F.col("src4").alias("ip"), F.floor(F.col("first_ms") / 1000).alias("seen"))
+    return enrich.Lookups(places, blocks4, blocks6, *numbers, enrich.tor_intervals(seen))
+
+
+# the place and number of each address that occurs, by its longest prefix
+_PLACES = f"""
+b4 as ({_BLOCKS.format(seq='(select range octet from range(1, 255))')}), b6 as ({_DUCK6}),
+a4 as (select distinct a from (select src4 a from flows union select dst4 from flows)), a6 as (select distinct a from (select hex(src6) a from flows union select hex(dst6) from flows)),
+m4 as (select a, arg_max(location_id, net_start - net_end) loc from a4 join b4 on a between net_start and net_end group by 1),
+m6 as (select a, arg_max(location_id, prefix_len) loc from a6 join b6 on starts_with(a, net) group by 1),
+loc as (select f.*, coalesce(s4.loc, s6.loc) s_loc, coalesce(d4.loc, d6.loc) d_loc, coalesce(chr(65 + coalesce(s4.loc, s6.loc)::int) || 'X', case when src4 is not null or src6 is not null then '..' end) src_geo, coalesce(chr(65 + coalesce(d4.loc, d6.loc)::int) || 'X', case when dst4 is not null or dst6 is not null then '..' end) dst_geo
+  from flows f left join m4 s4 on s4.a = src4 left join m6 s6 on s6.a = hex(src6) left join m4 d4 on d4.a = dst4 left join m6 d6 on d6.a = hex(dst6)),
+w as (select * replace (coalesce(nullif(src_as, 0), s_loc + 65000, 0) as src_as, coalesce(nullif(dst_as, 0), d_loc + 65000, 0) as dst_as) from loc)
+"""
 
 
-def _geo_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Prefixes of two lengths over all of IPv4, with nations as locations."""
-    blocks = spark.sql(_BLOCKS.format(seq="(select id as octet from range(1, 255))"))
-    return enrich.with_prefixes4(blocks), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("location_id"), F.col("n_name").alias("country"))
-
-
-_GEO_SQL = f"with b as ({_BLOCKS.format(seq='(select range octet from range(1, 255))')}), m as (select rec_no, src4, (select arg_max(location_id, net_start - net_end) from b where src4 between net_start and net_end) loc from (select distinct on (rec_no) rec_no, src4 from flows)) "
-
-
-@query(
-    f"with b as ({_BLOCKS.format(seq='(select range octet from range(1, 255))')}), a as (select distinct src4 from flows where src4 is not null), m as (select src4, arg_max(location_id, net_start - net_end) loc from a join b on src4 between net_start and net_end group by 1) "
-    f"select coalesce(n_name, case when f.src4 is not null then '..' end) src_geo, count(*) n, cast(sum(in_bytes) as bigint) in_bytes from flows f left join m on m.src4 = f.src4 left join nation on n_nationkey = loc group by 1"
-)
+@query(f"with {_PLACES} select src_geo, count(*) n, cast(sum(in_bytes) as bigint) in_bytes from w group by 1")
 def geo_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
-    blocks, places = _geo_tables(spark, d)
-    x = enrich.geo(flows(spark, d).select("src4", "in_bytes"), "src4", blocks, places, "src_geo")
+    x = lookups(spark, d).fill(flows(spark, d).select("src4", "src6", "in_bytes"), "src_geo")
     return x.groupBy("src_geo").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("in_bytes"))
 
 
-@query(
-    f"with b as ({_BLOCKS.format(seq='(select range octet from range(1, 255))')}), a as (select distinct src4 from flows where src4 is not null), m as (select src4, arg_max(location_id + 65000, net_start - net_end) asn from a join b on src4 between net_start and net_end group by 1) "
-    "select coalesce(nullif(src_as, 0), asn, 0) src_as, count(*) n from flows f left join m on m.src4 = f.src4 group by 1"
-)
+@query(f"with {_PLACES} select src_as, count(*) n from w group by 1")
 def as_lookup(spark: SparkSession, d: str) -> DataFrame:
-    blocks, _ = _geo_tables(spark, d)
-    x = enrich.as_number(flows(spark, d).select("src4", "src_as"), "src4", blocks.select("net_start", "prefix_len", (F.col("location_id") + 65000).alias("asn")), "src_as")
+    x = lookups(spark, d).fill(flows(spark, d).select("src4", "src6", "src_as"), "src_as")
     return x.groupBy("src_as").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SEEN = "select src4 ip, first_ms // 1000 seen from flows where src4 % 5 = 0 and first_ms > 0 and last_ms > 0 and first_ms // 86400000 % 2 = 0"
+# how often exit nodes were seen: intervals of sightings at most a day apart
+_EXITS = """
+s as (select src4 ip, first_ms // 1000 seen from flows where src4 is not null and first_ms > 0 and last_ms > 0 and proto = 17),
+m as (select *, lag(seen) over (partition by ip order by seen) p from s), n as (select *, sum(case when p is null or seen - p > 86400 then 1 else 0 end) over (partition by ip order by seen rows unbounded preceding) i from m),
+v as (select ip, i, min(seen) a, max(seen) z from n group by 1, 2),
+"""
+_TOR_HIT = "exists (from v where v.ip = {side}4 and (first_ms // 1000 between a and z + 86400 or last_ms // 1000 between a and z + 86400))"
+_TOR_KNOWN = "{side}4 in (select ip from v)"
+LOOKUP_FILTERS = {
+    "src geo FX": "src_geo = 'FX'", "geo KX": "src_geo = 'KX' or dst_geo = 'KX'", "not geo FX and proto tcp": "not coalesce(src_geo = 'FX' or dst_geo = 'FX', false) and proto = 6",
+    "as 65003": "src_as = 65003 or dst_as = 65003", "src as in [65007 65010] and ipv6": "src_as in (65007, 65010) and src6 is not null", "src as 0": "src_as = 0",
+    "src ip tor": _TOR_KNOWN.format(side="src"), "ip tor and not geo JX": f"({_TOR_KNOWN.format(side='src')} or {_TOR_KNOWN.format(side='dst')}) and not coalesce(src_geo = 'JX' or dst_geo = 'JX', false)",
+}
+
+
+@query(f"with {_EXITS} {_PLACES} " + " union all ".join("select '{}' as filter, count(*) n, cast(coalesce(sum(in_bytes), 0) as bigint) in_bytes from w where {}".format(f, c) for f, c in LOOKUP_FILTERS.items()))
+def filter_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Filters that ask for countries, exit nodes and AS numbers, each filling what it needs; all in one scan."""
+    from freshet.api import Flows
+    from freshet.filterlang.compiler import derived
+    from freshet.filterlang.parser import parse
+
+    cols = ["src4", "src6", "dst4", "dst6", "src_as", "dst_as", "proto", "first_ms", "last_ms", "in_bytes"]
+    f = Flows(flows(spark, d).select(*cols), lookups=lookups(spark, d))
+    f = f.filled(set().union(*[derived(parse(x)) for x in LOOKUP_FILTERS]))
+    hits = [compile_filter(x, f.df) for x in LOOKUP_FILTERS]
+    one = f.df.agg(*[F.struct(F.lit(x).alias("filter"), F.count_if(h).alias("n"), F.coalesce(F.sum(F.when(h, F.col("in_bytes"))), F.lit(0).cast("long")).alias("in_bytes")).alias(str(i)) for i, (x, h) in enumerate(zip(LOOKUP_FILTERS, hits))])
+    return one.select(F.explode(F.array(*[F.col(str(i)) for i in range(len(hits))])).alias("x")).select("x.*")
+
+
+@query(f"with {_PLACES} " + " union all ".join(f"select * from {x}" for x in (_stat_sql("srcgeo", ["src_geo"], "bytes", 10, "w"), _stat_sql("geo", ["src_geo", "dst_geo"], "flows", 10, "w"), _stat_sql("as", [_num("src_as"), _num("dst_as")], "packets", 10, "w"))))
+def stat_lookups(spark: SparkSession, d: str) -> DataFrame:
+    from freshet.api import Flows
+
+    cols = ["src4", "src6", "dst4", "dst6", "src_as", "dst_as", "first_ms", "last_ms", "in_packets", "in_bytes", "cnt_flows"]
+    return Flows(flows(spark, d).select(*cols), lookups=lookups(spark, d)).stat("srcgeo/bytes", "geo/flows", "as/packets", n=10)
 
 
 # how flows stand to the intervals of the sightings
@@ -402,16 +423,8 @@ _TOR = (
 )
 
 
-@query(_TOR.format(seen=_SEEN))
-def tor_exits(spark: SparkSession, d: str) -> DataFrame:
-    f = flows(spark, d)
-    seen = f.where("src4 % 5 = 0 and first_ms > 0 and last_ms > 0 and first_ms div 86400000 % 2 = 0").select(F.col("src4").alias("ip"), F.floor(F.col("first_ms") / 1000).alias("seen"))
-    x = enrich.tor(f.select("src4", "first_ms", "last_ms"), "src4", enrich.tor_intervals(seen), "src_tor")
-    return x.groupBy("src_tor").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(_TOR.format(seen="select src4 ip, first_ms // 1000 seen from flows where src4 is not null and first_ms > 0 and last_ms > 0"))
-def tor_exits_all(spark: SparkSession, d: str) -> DataFrame:
+def tor_exits(spark: SparkSession, d: str) -> DataFrame:
     """Every source counts as an exit from its first sighting on."""
     f = flows(spark, d)
     seen = f.where("src4 is not null and first_ms > 0 and last_ms > 0").select(F.col("src4").alias("ip"), F.floor(F.col("first_ms") / 1000).alias("seen"))
@@ -456,43 +469,79 @@ def v1_to_flows(spark: SparkSession, d: str) -> DataFrame:
 # --- output
 
 
+_addr = lambda side: f"coalesce({_ip(side + '4')}, {text6_sql(f'hex({side}6)')}, '0.0.0.0')"
+_FLAGS = "(" + " || ".join(f"case when proto = 6 and tcp_flags & {1 << i} <> 0 then '{'FSRPAUEC'[i]}' else '.' end" for i in range(7, -1, -1)) + ")"
+_PROTO = "case coalesce(proto, 0) " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(enums.PROTOCOLS)) + " else cast(proto as varchar) end"
+_SEENS = lambda c: f"case when coalesce({c}, 0) = 0 then '0000-00-00 00:00:00.000' else strftime(make_timestamp({c} * 1000), '%Y-%m-%d %H:%M:%S.%g') end"
+_SPAN = "coalesce(last_ms - first_ms, 0)"
+_DAYS = f"cast(floor({_SPAN} / 86400000.0) as bigint)"
+_LEFT = f"({_SPAN} - {_DAYS} * 86400000)"
+_CLOCK = f"printf('%02d:%02d:%02d.%03d', {_LEFT} // 3600000, {_LEFT} // 60000 % 60, {_LEFT} // 1000 % 60, {_LEFT} % 1000)"
+_DURATION = f"case when {_DAYS} = 0 then '    ' || {_CLOCK} else printf('%2dd ', {_DAYS}) || {_CLOCK} end"
+_str = lambda c: f"cast(coalesce({c}, 0) as varchar)"
+_WGT = "cast(case when coalesce(cnt_flows, 0) = 0 then 1 else cnt_flows end as varchar)"
+_rate = lambda a, b: f"cast(cast(coalesce({_RATE.format(a, b)}, 0) as bigint) as varchar)"
+_DPORT = f"case when proto in (1, 58) then (coalesce(dst_port, 0) // 256) || '.' || (coalesce(dst_port, 0) % 256) else {_str('dst_port')} end"
+_end = lambda side, port: f"{_addr(side)} || case when {side}4 is null and {side}6 is not null then '.' else ':' end || {port}"
+_pad = lambda x, n, left=False: f"{'rpad' if left else 'lpad'}({x}, cast(greatest(length({x}), {n}) as integer), ' ')"
+
+
 @query(
-    f"select coalesce(rec_no, 0) cnt, case when src4 is not null then 4 when src6 is not null then 6 else 0 end af, coalesce(first_ms, 0) \"firstSeen\", coalesce(last_ms, 0) \"lastSeen\", cast(coalesce(proto, 0) as bigint) proto, coalesce({_ip('src4')}, '0.0.0.0') \"srcAddr\", cast(coalesce(src_port, 0) as bigint) \"srcPort\", "
-    f"coalesce({_ip('dst4')}, '0.0.0.0') \"dstAddr\", cast(coalesce(dst_port, 0) as bigint) \"dstPort\", coalesce(src_as, 0) \"srcAS\", coalesce(dst_as, 0) \"dstAS\", coalesce(input_if, 0) \"input\", coalesce(output_if, 0) \"output\", "
-    "(" + " || ".join(f"case when proto = 6 and tcp_flags & {1 << i} <> 0 then '{'FSRPAUEC'[i]}' else '.' end" for i in range(7, -1, -1)) + ") flags, cast(coalesce(src_tos, 0) as bigint) \"srcTos\", coalesce(in_packets, 0) packets, coalesce(in_bytes, 0) bytes from flows where src6 is null"
+    f"select coalesce(rec_no, 0) cnt, case when src4 is not null then 4 when src6 is not null then 6 else 0 end af, coalesce(first_ms, 0) \"firstSeen\", coalesce(last_ms, 0) \"lastSeen\", cast(coalesce(proto, 0) as bigint) proto, {_addr('src')} \"srcAddr\", cast(coalesce(src_port, 0) as bigint) \"srcPort\", "
+    f"{_addr('dst')} \"dstAddr\", cast(coalesce(dst_port, 0) as bigint) \"dstPort\", coalesce(src_as, 0) \"srcAS\", coalesce(dst_as, 0) \"dstAS\", coalesce(input_if, 0) \"input\", coalesce(output_if, 0) \"output\", "
+    f"{_FLAGS} flags, cast(coalesce(src_tos, 0) as bigint) \"srcTos\", coalesce(in_packets, 0) packets, coalesce(in_bytes, 0) bytes from flows"
 )
 def out_csv_fast(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.csv_fast(flows(spark, d).where("src6 is null"))
+    return tokens.csv_fast(flows(spark, d))
 
 
-@query()
-def out_csv_fast_both(spark: SparkSession, d: str) -> DataFrame:
-    """All flows; SQL can't print condensed IPv6 addresses, so the tests compare them with ipaddress."""
-    return tokens.csv_fast(flows(spark, d))
+# the widths of the columns, in order
+_EXTENDED = {
+    _SEENS("first_ms"): (23, True), _DURATION: (16, True), _PROTO: (5, True), _end("src", _str("src_port")): (22, False), _end("dst", _DPORT): (22, False), _FLAGS: (8, False), _str("src_tos"): (4, False), _str("in_packets"): (8, False),
+    _str("in_bytes"): (8, False), _rate("in_packets * 1000", _DUR): (8, False), _rate("in_bytes * 8000", _DUR): (8, False), _rate("in_bytes", "in_packets"): (6, False), _WGT: (5, False),
+}
 
 
-@query()
+@query("select " + " || ".join((" '-> ' || " if i == 4 else "") + f"{_pad(x, n, left)}" + (" || ' '" if i < len(_EXTENDED) - 1 else "") for i, (x, (n, left)) in enumerate(_EXTENDED.items())) + " as line from flows")
 def out_line(spark: SparkSession, d: str) -> DataFrame:
     return tokens.fmt(flows(spark, d), "extended")
 
 
-@query()
+@query(
+    f"select {_SEENS('first_ms')} \"firstSeen\", trim({_DURATION}) duration, {_PROTO} proto, {_addr('src')} \"srcAddr\", {_str('src_port')} \"srcPort\", {_addr('dst')} \"dstAddr\", {_str('dst_port')} \"dstPort\", {_str('in_packets')} packets, {_str('in_bytes')} bytes, {_WGT} flows from flows"
+)
 def out_csv(spark: SparkSession, d: str) -> DataFrame:
     return tokens.csv(flows(spark, d), "csv")
 
 
-@query()
+_quoted = lambda x: f"'\"' || {x} || '\"'"
+_ICMP = "coalesce(proto in (1, 58), false)"
+_ISO = lambda c: _quoted(f"strftime(make_timestamp({c} * 1000), '%Y-%m-%dT%H:%M:%S.%g')")
+_NET4T = f"case when src_mask is not null then {N4.format(_NET4)} || '/' || src_mask end"
+_JSON = {
+    "type": "'\"FLOW\"'", "first": _ISO("first_ms"), "last": _ISO("last_ms"), "received": _ISO("received_ms"), "in_packets": "in_packets", "in_bytes": "in_bytes", "proto": "proto", "src_tos": "src_tos", "fwd_status": "fwd_status",
+    "input_snmp": "input_if", "output_snmp": "output_if", "src_mask": "src_mask", "dst_mask": "dst_mask", "aggr_flows": "cnt_flows", "src_as": "src_as", "dst_as": "dst_as", "cnt": "rec_no", "ident": _quoted("ident"), "export_sysid": "exporter_id",
+    "src4_addr": _quoted(_ip("src4")), "dst4_addr": _quoted(_ip("dst4")), "src6_addr": _quoted(f"case when src6 is not null then {text6_sql('hex(src6)')} end"), "dst6_addr": _quoted(f"case when dst6 is not null then {text6_sql('hex(dst6)')} end"),
+    "icmp_type": f"case when {_ICMP} then dst_port // 256 end", "icmp_code": f"case when {_ICMP} then dst_port % 256 end", "src_port": f"case when not {_ICMP} then src_port end", "dst_port": f"case when not {_ICMP} then dst_port end",
+    "tcp_flags": _quoted(f"case when not {_ICMP} and tcp_flags is not null then " + _FLAGS.replace("proto = 6 and ", "") + " end"),
+    "src_net": _quoted(f"case when src4 is not null then {_NET4T} end"), "dst_net": _quoted(f"case when dst4 is not null then {_NET4T.replace('src', 'dst')} end"), "sampled": "case when flags is not null and flags & 2 <> 0 then 1 else 0 end",
+}
+
+
+@query("select '{' || concat_ws(',', " + ", ".join(f"'\"{k}\":' || ({v})" for k, v in _JSON.items()) + ") || '}' as value from flows")
 def out_ndjson(spark: SparkSession, d: str) -> DataFrame:
     return json_out.ndjson(flows(spark, d))
 
 
-@query()
+@query(" union all ".join(f"select {n} as bits, count(*) n, cast(sum(in_bytes) as bigint) in_bytes from flows where src4 is not null group by src4 >> {32 - n}" for n in (8, 16, 24, 32)))
 def anonymised(spark: SparkSession, d: str) -> DataFrame:
-    """Flows by anonymised source: prefix-preserving, so totals per group stay the same."""
+    """Flows by networks of anonymised sources. Anonymising keeps prefixes: networks of any length hold the same flows as before."""
     from freshet.functions.cryptopan import anonymize
 
     a = anonymize(flows(spark, d).select("src4", "dst4", "src6", "dst6", "src_as", "dst_as", "in_bytes"), "abcdefghijklmnopqrstuvwxyz012345")
-    return a.groupBy("src4").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("in_bytes"))
+    nets = F.array(*[F.struct(F.lit(n).alias("bits"), F.shiftright("src4", 32 - n).alias("net")) for n in (8, 16, 24, 32)])
+    x = a.where("src4 is not null").select("in_bytes", F.explode(nets).alias("x")).select("x.*", "in_bytes")
+    return x.groupBy("bits", "net").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("in_bytes")).drop("net")
 
 
 def queries() -> dict:

@@ -30,7 +30,7 @@ def top(rows, sides, by, n):
 
 
 def test_statistics(spark, sf, rows):
-    for name, some, sides, by, n in (("stat_srcip_https_both", [r for r in rows if r.proto == 6 and r.dst_port == 443], ["src"], "bytes", 10), ("stat_ip_flows_both", rows, ["src", "dst"], "flows", 20)):
+    for name, some, sides, by, n in (("stat_srcip_https", [r for r in rows if r.proto == 6 and r.dst_port == 443], ["src"], "bytes", 10), ("stat_ip_flows", rows, ["src", "dst"], "flows", 20)):
         got = flows.queries()[name](spark, sf).orderBy("rank").collect()
         values, names = top(some, sides, by, n)
         assert [r[by] for r in got] == values
@@ -42,12 +42,12 @@ def test_an_ipv6_source_can_lead(spark, sf, tmp_path):
     f = spark.read.parquet(f"{sf}/flows.parquet")
     one = f.where("src6 is not null and proto = 6 and dst_port = 443").orderBy("rec_no").limit(1).selectExpr("* except (in_bytes)", "cast(1e12 as bigint) in_bytes")
     f.unionByName(one).write.parquet(str(tmp_path / "flows.parquet"))
-    first = flows.stat_srcip_https_both(spark, str(tmp_path)).where("rank = 1").first()
+    first = flows.stat_srcip_https(spark, str(tmp_path)).where("rank = 1").first()
     assert ipaddress.ip_address(first.key).version == 6 and first.bytes >= 10**12
 
 
 def test_csv_has_every_flow(spark, sf, rows):
-    got = flows.out_csv_fast_both(spark, sf).collect()
+    got = flows.out_csv_fast(spark, sf).collect()
     assert len(got) == len(rows) and sum(r.af == 6 for r in got) == sum(r.src6 is not None for r in rows) > 0
     want = sorted((r.rec_no or 0, text(r, "src") or "0.0.0.0", text(r, "dst") or "0.0.0.0") for r in rows)
     assert sorted((r.cnt, r.srcAddr, r.dstAddr) for r in got) == want

@@ -121,6 +121,50 @@ def test_lookups(spark):
     assert sorted(r.o for r in enrich.as_organisation(f, "src_as", orgs, "o").collect()) == ["One", "not found", "not found", "not found"]
 
 
+@pytest.mark.parametrize("family", [4, 6])
+def test_prefixes_by_search_and_by_join(spark, monkeypatch, family):
+    """Nested and repeated prefixes of any length, both ways, against a walk over all of them."""
+    import ipaddress
+    import random
+
+    r = random.Random(family)
+    width, low = (32, 0x0A000000) if family == 4 else (128, 0x20010DB8 << 96)
+    own = lambda n: n if family == 4 else n.to_bytes(16, "big")
+    address = lambda: low + (r.randrange(1 << 10) << (width - 18))
+    nets = [(a >> (width - n) << (width - n), n, r.randrange(5)) for a, n in ((address(), r.choice([0, 7, 9, 12, 14, 16, 18])) for _ in range(60))] + [((1 << width) - 4 >> 2 << 2, width - 2, 9)]
+    nets += [(a, n, v + 1) for a, n, v in nets[:5]]
+    prefixes = spark.createDataFrame([(own(a), n, v) for a, n, v in nets], f"net_start {'long' if family == 4 else 'binary'}, prefix_len int, v int")
+    asked = [address() + r.randrange(100) for _ in range(200)] + [0, (1 << width) - 1, low - 1]
+    flows = spark.createDataFrame([(i, own(a)) for i, a in enumerate(asked)] + [(9999, None)], f"i int, `a.b` {'long' if family == 4 else 'binary'}").withColumnRenamed("a.b", "a")
+    want = {9999: None}
+    for i, a in enumerate(asked):
+        held = [(n, v) for net, n, v in nets if a >> (width - n) == net >> (width - n)]
+        want[i] = max(held)[1] if held else None
+    find = lambda: {x.i: x.found for x in enrich.longest_prefix(flows, "a", prefixes, {"v": "found"}, family).collect()}
+    assert find() == want and ipaddress
+    monkeypatch.setattr(enrich, "MAX_PREFIXES", 0)
+    assert find() == want
+
+
+def test_lookups_on_demand(spark):
+    b = enrich.with_prefixes4(spark.createDataFrame([(0x0A000000, 0x0AFFFFFF, 1), (0x0A010000, 0x0A01FFFF, 2)], "net_start long, net_end long, location_id long"))
+    places = spark.createDataFrame([(1, "AA", "Aton"), (2, "BB", "Bton")], "location_id long, country string, city string")
+    numbers = b.select("net_start", "prefix_len", F.lit(64999).alias("asn"), F.lit("Net").alias("org"))
+    exits = spark.createDataFrame([(0x0A010101, [(0, 10)])], "ip long, intervals array<struct<first: long, last: long>>")
+    f = spark.createDataFrame([(1, 0x0A010101, 0x0A020202, 5, 0, 1000, 2000), (2, 0x0B000000, 0x0A010101, None, 7, 1000, 2000)], "rec_no long, src4 long, dst4 long, src_as long, dst_as long, first_ms long, last_ms long")
+    know = Flows(f, lookups=enrich.Lookups(places, b, None, numbers, None, exits))
+    seen = lambda text: sorted(r.rec_no for r in know.filter(text).df.collect())
+    assert (seen("src geo BB"), seen("geo BB"), seen("not geo AA"), seen("ip tor"), seen("src ip tor"), seen("as 64999"), seen("src as 0")) == ([1], [1, 2], [2], [1, 2], [1], [1], [2])
+    assert {(r.key, r.flows) for r in know.stat("srcgeo/flows").collect()} == {("BB", 1), ("..", 1)}
+    assert sorted(r.src_geo for r in know.aggregate("srcgeo").df.collect()) == ["..", "BB"]
+    assert sorted(r.line for r in know.fmt("fmt:%sc %dasn %stor %sloc".removeprefix("fmt:")).collect())[1].split() == ["BB", "Net", "EX", "BB/Bton"]
+    bare = Flows(f)
+    for ask in (lambda: bare.filter("geo BB"), lambda: bare.filter("not ip tor"), lambda: bare.stat("geo/bytes"), lambda: bare.aggregate("dstgeo")):
+        with pytest.raises(ValueError):
+            ask()
+    assert bare.filter("src as 5").df.count() == 1 and bare.fmt("%sc").first().line.strip() == ".."
+
+
 def test_tor_and_sampling(spark):
     day = 86_400
     seen = spark.createDataFrame([(7, t) for t in (0, day, 5 * day)] + [(8, 100)], "ip long, seen long")
