@@ -54,6 +54,25 @@ def fields(df: DataFrame) -> dict[str, Column]:
         out |= {f"mpls_{i}": F.when(F.get(p["mpls"], F.lit(i - 1)) != 0, F.format_string("%d-%d-%d", F.shiftright(F.get(p["mpls"], F.lit(i - 1)), 4), F.shiftright(F.get(p["mpls"], F.lit(i - 1)), 1).bitwiseAND(7), F.get(p["mpls"], F.lit(i - 1)).bitwiseAND(1))) for i in range(1, 11)}
     if "nat_event" in have:
         out["nat_event"] = enums.name_of(p["nat_event"], enums.NAT_EVENTS)
+    for side in ("src", "dst"):  # an address of IPv6 has its country under its own name
+        if side + "_geo" in have and side + "6" in have:
+            out[f"{side}4_geo"], out[f"{side}6_geo"] = (F.when(p[f"{side}{n}"].isNotNull(), p[side + "_geo"]) for n in (4, 6))
+    acl = lambda c: F.concat_ws("/", F.transform(c, lambda x: F.format_string("0x%x", x)))
+    out |= {c: F.when(p[c].isNotNull(), acl(p[c])) for c in ("ingress_acl", "egress_acl") if c in have}
+    if "frag_flags" in have:
+        out["ip_fragment"] = F.when(p["frag_flags"].isNotNull(), F.concat(F.when(p["frag_flags"].bitwiseAND(64) != 0, "DF").otherwise("  "), F.when(p["frag_flags"].bitwiseAND(32) != 0, "MF").otherwise("  ")))
+    for side in ("in", "out"):
+        if side + "_payload" in have:
+            from freshet.functions import payload
+
+            tls = payload.tls(p[side + "_payload"])
+            out[f"{side}_tls"] = tls["version"].cast("string")
+    prints = {"sni": "sni", "ja3 hash": "ja3", "ja4 hash": "ja4", "ja4s hash": "ja4s"}
+    if have & {"in_payload", "out_payload"} or have & set(prints.values()):
+        from freshet.functions import payload
+
+        of = lambda part: F.coalesce(*[payload.tls(p[c])[part] for c in ("in_payload", "out_payload") if c in have])
+        out |= {k: p[c] if c in have else of(c) for k, c in prints.items() if c in have or have & {"in_payload", "out_payload"}}
     if "flags" in have:
         out["sampled"] = F.when(p["flags"].bitwiseAND(2) != 0, 1).otherwise(0)
     return out
@@ -64,6 +83,13 @@ def objects(df: DataFrame) -> DataFrame:
     return df.select(*[v.alias(k) for k, v in fields(df).items()])
 
 
+def pretty(df: DataFrame) -> DataFrame:
+    """One text column `value` with an object per row, its fields on lines of their own; commas between objects and the array's brackets are
+    the printer's, for rows have no last one."""
+    x = objects(df)
+    return x.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in x.columns]), {"ignoreNullFields": "true", "pretty": "true"}).alias("value"))
+
+
 def ndjson(df: DataFrame) -> DataFrame:
     """One text column `value` with an object per row; NULL fields are left out."""
     x = objects(df)

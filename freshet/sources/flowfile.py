@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import bz2
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from io import BytesIO
+from itertools import islice
 from pathlib import Path
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -213,40 +217,44 @@ def decode_record(b: bytes, at: int, size: int) -> dict:
 def read_file(path: str) -> Iterator[dict]:
     """Records of a file, in order; corrupt blocks are skipped."""
     with open(path, "rb") as f:
-        head = f.read(FILE_HEADER.size)
-        if len(head) < FILE_HEADER.size:
-            raise Corrupt(f"{path}: short header")
-        magic, version, _, _, packing, encryption, n_appendix, _, at_appendix, block_size, n_blocks = FILE_HEADER.unpack(head)
-        if magic != MAGIC or version != LAYOUT:
-            raise Corrupt(f"{path}: not a flow file of layout {LAYOUT}")
-        if encryption:
-            raise Corrupt(f"{path}: encrypted")
-        ident = None
-        if n_appendix and at_appendix:
-            f.seek(at_appendix)
-            ident = _ident(f, n_appendix, packing, block_size)
-            f.seek(FILE_HEADER.size)
-        for _ in range(n_blocks):
-            try:
-                block = _block(f, packing, block_size)
-            except Corrupt:
-                continue
-            if block is None:
-                return
-            kind, body = block
-            if kind != RECORD_BLOCK:
-                continue
-            i = 0
-            try:
-                while i + 4 <= len(body):
-                    t, size = ELEMENT_HEADER.unpack_from(body, i)
-                    if size < 4 or i + size > len(body):
-                        raise Corrupt("bad record size")
-                    if t == FLOW_RECORD:
-                        yield decode_record(body, i, size) | {"ident": ident}
-                    i += size
-            except (Corrupt, struct.error):
-                continue
+        yield from read_records(f, path)
+
+
+def read_records(f: BinaryIO, path: str) -> Iterator[dict]:
+    head = f.read(FILE_HEADER.size)
+    if len(head) < FILE_HEADER.size:
+        raise Corrupt(f"{path}: short header")
+    magic, version, _, _, packing, encryption, n_appendix, _, at_appendix, block_size, n_blocks = FILE_HEADER.unpack(head)
+    if magic != MAGIC or version != LAYOUT:
+        raise Corrupt(f"{path}: not a flow file of layout {LAYOUT}")
+    if encryption:
+        raise Corrupt(f"{path}: encrypted")
+    ident = None
+    if n_appendix and at_appendix:
+        f.seek(at_appendix)
+        ident = _ident(f, n_appendix, packing, block_size)
+        f.seek(FILE_HEADER.size)
+    for _ in range(n_blocks):
+        try:
+            block = _block(f, packing, block_size)
+        except Corrupt:
+            continue
+        if block is None:
+            return
+        kind, body = block
+        if kind != RECORD_BLOCK:
+            continue
+        i = 0
+        try:
+            while i + 4 <= len(body):
+                t, size = ELEMENT_HEADER.unpack_from(body, i)
+                if size < 4 or i + size > len(body):
+                    raise Corrupt("bad record size")
+                if t == FLOW_RECORD:
+                    yield decode_record(body, i, size) | {"ident": ident}
+                i += size
+        except (Corrupt, struct.error):
+            continue
 
 
 def _block(f, packing: int, block_size: int) -> tuple[int, bytes] | None:
@@ -314,8 +322,8 @@ def encode_record(r: dict) -> bytes:
     return head + out
 
 
-def write_file(path: str, records: list[dict], ident: str = "", packing: int = NONE, per_block: int = 1000) -> None:
-    """A flow file; packing is NONE, BZ2 or ZSTD."""
+def write_records(f: BinaryIO, records: Iterable[dict], ident: str = "", packing: int = NONE, per_block: int = 1000) -> int:
+    """A flow file, block by block as records come; packing is NONE, BZ2 or ZSTD. Gives the number of records."""
     def packed(b: bytes) -> bytes:
         if packing == BZ2:
             return bz2.compress(b)
@@ -327,17 +335,77 @@ def write_file(path: str, records: list[dict], ident: str = "", packing: int = N
             raise ValueError("files are written plain, or packed with bzip2 or zstd")
         return b
 
-    blocks = []
-    for i in range(0, len(records), per_block):
-        part = records[i : i + per_block]
+    begin, blocks, n = f.tell(), 0, 0
+    f.write(bytes(FILE_HEADER.size))
+    records = iter(records)
+    while part := list(islice(records, per_block)):
         body = packed(b"".join(encode_record(r) for r in part))
-        blocks.append(BLOCK_HEADER.pack(len(part), len(body), RECORD_BLOCK, 0) + body)
+        f.write(BLOCK_HEADER.pack(len(part), len(body), RECORD_BLOCK, 0) + body)
+        blocks, n = blocks + 1, n + len(part)
     name = ident.encode() + b"\0"
     appendix = ELEMENT_HEADER.pack(IDENT_RECORD, 4 + len(name)) + name
-    tail = BLOCK_HEADER.pack(1, len(appendix), RECORD_BLOCK, BLOCK_UNCOMPRESSED) + appendix
-    at = FILE_HEADER.size + sum(map(len, blocks))
-    head = FILE_HEADER.pack(MAGIC, LAYOUT, 0, 0, packing, 0, 1, 0, at, 1 << 21, len(blocks))
-    Path(path).write_bytes(head + b"".join(blocks) + tail)
+    at = f.tell() - begin
+    f.write(BLOCK_HEADER.pack(1, len(appendix), RECORD_BLOCK, BLOCK_UNCOMPRESSED) + appendix)
+    f.seek(begin)
+    f.write(FILE_HEADER.pack(MAGIC, LAYOUT, 0, 0, packing, 0, 1, 0, at, 1 << 21, blocks))
+    f.seek(0, 2)
+    return n
+
+
+def write_file(path: str, records: Iterable[dict], ident: str = "", packing: int = NONE, per_block: int = 1000) -> int:
+    with open(path, "wb") as f:
+        return write_records(f, records, ident, packing, per_block)
+
+
+def to_files(flows: DataFrame, packing: int = ZSTD, per_file: int = 50_000) -> DataFrame:
+    """Flows as the contents of flow files (ident, n, content), up to `per_file` records of one ident each: for sinks that take bytes, and for
+    stores that only Spark can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[dict]] = {}
+
+        def packed(ready: list) -> pa.RecordBatch:
+            out = []
+            for ident, rows in ready:
+                f = BytesIO()
+                write_records(f, rows, ident, packing)
+                out.append((ident, len(rows), f.getvalue()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.binary()))], names=["ident", "n", "content"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                rows = held.setdefault(r.get("ident") or "", [])
+                rows.append(r)
+                if len(rows) == per_file:
+                    yield packed([(r.get("ident") or "", held.pop(r.get("ident") or ""))])
+        if held:
+            for x in held.items():
+                yield packed([x])
+
+    return flows.select(*[c for c in SCHEMA.names if c in flows.columns]).mapInArrow(run, "ident string, n long, content binary")
+
+
+def from_files(contents: DataFrame) -> DataFrame:
+    """Records of flow files given as bytes (column `content`); what is no flow file gives nothing, corrupt blocks are skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(SCHEMA)
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                try:
+                    records = enumerate(read_records(BytesIO(content or b""), "content"), 1)
+                    while part := [r | {"rec_no": i} for i, r in islice(records, 5000)]:
+                        yield _batch(part, schema)
+                except Corrupt:
+                    continue
+
+    return contents.select("content").mapInArrow(run, SCHEMA)
+
+
+def load(spark, path: str) -> DataFrame:
+    """Flow files below `path` in any store that Spark reads, a file to a task; the format `flowfile` reads block by block, but needs a folder
+    that is mounted on every worker."""
+    return from_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
 class _File(InputPartition):
@@ -399,7 +467,8 @@ class FlowFileSource(DataSource):
 
 
 class FlowFileWriter(DataSourceWriter):
-    """One file per task, written under a hidden name and renamed when the job commits. Options: path, ident, packing (none, bz2, zstd)."""
+    """One file per task, written under a hidden name and renamed when the job commits, to a folder that is mounted on every worker. Options:
+    path, ident, packing (none, bz2, zstd)."""
 
     def __init__(self, options: dict, schema) -> None:
         self.root, self.ident = options["path"], options.get("ident", "")
@@ -411,10 +480,11 @@ class FlowFileWriter(DataSourceWriter):
         import uuid
 
         name = f".part-{uuid.uuid4().hex}"
-        rows = [dict(zip(self.names, r)) for r in iterator]  # a task's rows make one file
-        if rows:
-            write_file(str(Path(self.root) / name), rows, self.ident, self.packing)
-        return _Written(name if rows else None)
+        # a task's rows make one file, written block by block
+        n = write_file(str(Path(self.root) / name), (dict(zip(self.names, r)) for r in iterator), self.ident, self.packing)
+        if not n:
+            (Path(self.root) / name).unlink()
+        return _Written(name if n else None)
 
     def commit(self, messages) -> None:
         for m in messages:

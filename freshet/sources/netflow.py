@@ -534,27 +534,70 @@ def encode_v5(rows: list[dict], sequence: int = 0, uptime: int = 3_600_000, unix
     return out
 
 
-V9_TEMPLATE = [(8, 4), (12, 4), (15, 4), (10, 4), (14, 4), (2, 8), (1, 8), (22, 4), (21, 4), (7, 2), (11, 2), (6, 1), (4, 1), (5, 1), (16, 4), (17, 4), (9, 1), (13, 1)]
+_V9_COMMON = [(10, 4), (14, 4), (2, 8), (1, 8), (22, 4), (21, 4), (7, 2), (11, 2), (6, 1), (4, 1), (5, 1), (16, 4), (17, 4)]
+# template id -> elements and their sizes: IPv4 and IPv6 flows
+V9_TEMPLATES = {256: [(8, 4), (12, 4), (15, 4), *_V9_COMMON, (9, 1), (13, 1)], 257: [(27, 16), (28, 16), *_V9_COMMON, (29, 1), (30, 1)]}
 
 
 def encode_v9(rows: list[dict], sequence: int = 0, uptime: int = 3_600_000, unix_ms: int | None = None, domain: int = 0, with_template: bool = True) -> bytes:
-    """A version 9 packet with its template and IPv4 flow records, for replay."""
+    """A version 9 packet with its templates and flow records of both families, for replay."""
     unix_ms = (unix_ms if unix_ms is not None else max((r.get("last_ms") or 0 for r in rows), default=0)) // 1000 * 1000
-    body = b""
-    if with_template:
-        t = struct.pack(">HH", 256, len(V9_TEMPLATE)) + b"".join(struct.pack(">HH", *f) for f in V9_TEMPLATE)
-        body += struct.pack(">HH", 0, 4 + len(t)) + t
-    data = b""
-    for r in rows:
-        for element, size in V9_TEMPLATE:
-            name, how = ELEMENTS[element]
-            n = int(r.get(name) or 0)
-            if how == "r":
-                n = (uptime - (unix_ms - n)) % 2**32
-            data += min(n, 256**size - 1).to_bytes(size, "big")
-    data += bytes(-len(data) % 4)
-    body += struct.pack(">HH", 256, 4 + len(data)) + data
-    return struct.pack(">HHIIII", 9, len(rows) + with_template, uptime, unix_ms // 1000, sequence, domain) + body
+    of = {t: [r for r in rows if (r.get("src6") is not None) == (t == 257)] for t in V9_TEMPLATES}
+    body, n = b"", len(rows)
+    for t, elements in V9_TEMPLATES.items():
+        if with_template and of[t]:
+            x = struct.pack(">HH", t, len(elements)) + b"".join(struct.pack(">HH", *f) for f in elements)
+            body += struct.pack(">HH", 0, 4 + len(x)) + x
+            n += 1
+    for t, elements in V9_TEMPLATES.items():
+        data = b""
+        for r in of[t]:
+            for element, size in elements:
+                name, how = ELEMENTS[element]
+                v = r.get(name)
+                if size == 16:
+                    data += bytes(v or bytes(16))
+                    continue
+                v = (uptime - (unix_ms - int(v or 0))) % 2**32 if how == "r" else int(v or 0)
+                data += min(v, 256**size - 1).to_bytes(size, "big")
+        if data:
+            data += bytes(-len(data) % 4)
+            body += struct.pack(">HH", t, 4 + len(data)) + data
+    return struct.pack(">HHIIII", 9, n, uptime, unix_ms // 1000, sequence, domain) + body
+
+
+def to_packets(flows: DataFrame, version: int = 9, per_packet: int = 24) -> DataFrame:
+    """Flows as exporter packets (exporter_id, received_ms, payload): versions 5 (IPv4 flows only; others are left out), 9, or 250 for native
+    records. A task holds at most `per_packet` flows of each exporter; a packet was received when its last flow was."""
+    encode = {5: encode_v5, 9: encode_v9, RAW_VERSION: encode_raw}[version]
+    x = flows.select(*[c for c in FLOW_COLUMNS if c in flows.columns])
+    if version == 5:
+        x = x.where("src6 is null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int | None, list[dict]] = {}
+        sent: dict[int | None, int] = {}
+
+        def packed(ready: list) -> pa.RecordBatch:
+            out = []
+            for e, rows in ready:
+                out.append((e, max((r["received_ms"] for r in rows if r.get("received_ms")), default=None), encode(rows, sent.get(e, 0))))
+                sent[e] = sent.get(e, 0) + len(rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["exporter_id", "received_ms", "payload"])
+
+        for b in batches:
+            ready = []
+            for r in b.to_pylist():
+                rows = held.setdefault(r.get("exporter_id"), [])
+                rows.append(r)
+                if len(rows) == per_packet:
+                    ready.append((r.get("exporter_id"), held.pop(r.get("exporter_id"))))
+            if ready:
+                yield packed(ready)
+        if held:
+            yield packed(list(held.items()))
+
+    return x.mapInArrow(run, PACKET)
 
 
 def replay(flows: DataFrame, host: str, port: int, version: int = 5, per_packet: int = 24, delay_s: float = 0.0, speed: float | None = None) -> None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import gzip
 import struct
+import sys
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +28,7 @@ PACKETS = T.StructType(
     ]
 )
 MAX_STEPS = 32
+UNREADABLE = (ValueError, OSError, EOFError, struct.error, zlib.error)
 # Link types.
 ETHERNET, PPP, RAW, LOOP, LINUX_SLL, NULL = 1, 9, (12, 14, 101), 108, 113, 0
 
@@ -118,7 +121,11 @@ def _network(b: bytes, i: int, r: dict) -> tuple[int, int] | None:
         r["bytes"] = r.get("bytes", size)
         r["frag_offset"], r["more_frags"], r["proto"] = (frag & 0x1FFF) * 8, bool(frag & 0x2000), proto
         r["src_port"] = r["dst_port"] = 0
-        return None if r["frag_offset"] else (i + (b[i] & 15) * 4, proto)
+        head = i + (b[i] & 15) * 4
+        if r["frag_offset"]:
+            r["payload"] = b[head : i + size]
+            return None
+        return head, proto
     if b[i] >> 4 != 6:
         raise IndexError
     (word, size), proto, r["ttl"] = struct.unpack_from(">IH", b, i), b[i + 6], b[i + 7]
@@ -138,7 +145,7 @@ def _network(b: bytes, i: int, r: dict) -> tuple[int, int] | None:
             r["frag_offset"], r["more_frags"] = off & 0xFFF8, bool(off & 1)
             proto, i = nxt, i + 8
             if r["frag_offset"]:
-                r["proto"] = proto
+                r["proto"], r["payload"] = proto, b[i:]
                 return None
         else:
             break
@@ -169,12 +176,13 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def packets(spark: SparkSession, path: str) -> DataFrame:
-    """All IP packets of the capture files at `path`. A file is one task; other packets and unreadable files give nothing."""
+    """All IP packets of the capture files at `path`. A file is one task; other packets give nothing. A file that is no capture,
+    or whose packing is broken, is named in the worker's log; unreadable() lists such files."""
     schema = _arrow(PACKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0).to_pylist():
+            for content, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows: list[dict] = []
                 try:
                     for ts, link, data, _ in read_capture(content):
@@ -184,12 +192,79 @@ def packets(spark: SparkSession, path: str) -> DataFrame:
                         if len(rows) == 10_000:
                             yield _rows(rows, schema)
                             rows = []
-                except (ValueError, OSError):
-                    pass
+                except UNREADABLE as e:
+                    print(f"{name}: not read to its end: {e}", file=sys.stderr)
                 if rows:
                     yield _rows(rows, schema)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, PACKETS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content", "path").mapInArrow(run, PACKETS)
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """path, packets (records that could be read) and error of each file at `path` that packets() can't read to its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = 0
+                try:
+                    for _ in read_capture(content):
+                        n += 1
+                except UNREADABLE as e:
+                    yield pa.RecordBatch.from_pydict({"path": [name], "packets": pa.array([n], pa.int64()), "error": [str(e)]})
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content", "path").mapInArrow(run, "path string, packets long, error string")
+
+
+def _whole(parts: list[dict], timeout_us: int) -> dict | None:
+    """One packet of a datagram's fragments, None if one is missing, they overlap, or the last came too late."""
+    parts = sorted({r["frag_offset"]: r for r in reversed(parts)}.values(), key=lambda r: r["frag_offset"])
+    first, rest = parts[0], parts[1:]
+    if first["frag_offset"] or not rest or parts[-1]["more_frags"] or max(r["ts_us"] for r in parts) - min(r["ts_us"] for r in parts) > timeout_us:
+        return None
+    head = rest[0]["frag_offset"] - len(first["payload"] or b"")  # the transport header, which the first fragment's payload lacks
+    at = rest[0]["frag_offset"]
+    for r in rest:
+        if r["frag_offset"] != at or r["payload"] is None:
+            return None
+        at += len(r["payload"])
+    if not 0 <= head <= 60:
+        return None
+    return first | {"payload": b"".join([first["payload"] or b"", *(r["payload"] for r in rest)]), "bytes": sum(r["bytes"] or 0 for r in parts), "more_frags": False, "frag_offset": 0}
+
+
+def reassembled(p: DataFrame, timeout_us: int = 10_000_000) -> DataFrame:
+    """Packets with the fragments of a datagram (addresses, protocol, fragment id) put together, so that payload terms see it whole: the
+    first fragment's packet with the payload of all and the sum of their bytes. Datagrams of which a part is missing, or came later than
+    the timeout, stay in fragments. Only fragments are shuffled; a task holds one datagram at a time, at most 64 kB in 8 byte steps.
+    """
+    schema = _arrow(T.StructType([p.schema[c] for c in p.columns]))
+    key = ["src4", "src6", "dst4", "dst6", "proto", "frag_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def close() -> list[dict]:
+            one = _whole(parts, timeout_us) if parts else None
+            return [one] if one else parts
+
+        for b in batches:
+            out: list[dict] = []
+            for r in b.to_pylist():
+                k = tuple(r[c] for c in key)
+                # an id comes again: what is complete goes before a new first fragment, and nothing waits beyond the timeout
+                if k != now or (parts and (r["ts_us"] - parts[0]["ts_us"] > timeout_us or len(parts) >= 8192 or (r["frag_offset"] == 0 and _whole(parts, timeout_us)))):
+                    out += close()
+                    now, parts = k, []
+                parts.append(r)
+            if out:
+                yield _rows(out, schema)
+        if parts:
+            yield _rows(close(), schema)
+
+    is_part = F.coalesce((F.col("frag_offset") > 0) | F.col("more_frags"), F.lit(False))
+    made = p.where(is_part).repartition(*key).sortWithinPartitions(*key, "ts_us").mapInArrow(run, p.schema)
+    return p.where(~is_part).unionByName(made)
 
 
 def with_fragment_ports(p: DataFrame, timeout_us: int = 10_000_000) -> DataFrame:

@@ -6,10 +6,11 @@ from pathlib import Path
 
 import pytest
 
-from freshet.plans import flows, problems
+from freshet.plans import carriers, flows, problems
 from tests.oracle import database, same
 
-Q, SQL = {**flows.queries(), **problems.queries()}, {**flows.oracle_sql(), **problems.oracle_sql()}
+Q = {**flows.queries(), **problems.queries(), **carriers.queries()}
+SQL = {**flows.oracle_sql(), **problems.oracle_sql(), **carriers.oracle_sql()}
 ROOT = Path(__file__).resolve().parent.parent
 
 

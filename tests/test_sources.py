@@ -164,6 +164,20 @@ def test_active_timeout_and_empty(spark):
     assert pcap.flows(p.limit(0)).count() == 0
 
 
+def test_datagrams_are_put_together(spark, tmp_path):
+    text = bytes(range(65, 91)) * 4
+    datagram = udp(1111, 2222, text)
+    cut = lambda a, z, more, ident=5: ether(ip4(datagram[a:z], 17, frag=(0x2000 if more else 0) | a // 8, ident=ident))
+    packets = [(1_000_000, cut(0, 48, True)), (1_000_100, cut(80, len(datagram), False)), (1_000_200, cut(48, 80, True)), (2_000_000, cut(0, 48, True, 6)), (3_000_000, ether(ip4(datagram, 17, ident=9)))]
+    packets += [(4_000_000, cut(0, 48, True)), (4_000_001, cut(48, len(datagram), False)), (50_000_000, cut(0, 48, True, 8)), (70_000_000, cut(48, len(datagram), False, 8))]
+    (tmp_path / "a.pcap").write_bytes(capture(packets))
+    (tmp_path / "b.pcap").write_bytes(b"no capture at all, whatever its name says")
+    got = sorted((r.ts_us, r.frag_offset, r.more_frags, bytes(r.payload)) for r in pcap.reassembled(pcap.packets(spark, str(tmp_path)).repartition(3)).collect())
+    whole = (0, False, text)
+    assert got == [(1_000_000, *whole), (2_000_000, 0, True, text[:40]), (3_000_000, *whole), (4_000_000, *whole), (50_000_000, 0, True, text[:40]), (70_000_000, 48, False, datagram[48:])]
+    assert [(r.path.rsplit("/", 1)[1], r.packets) for r in pcap.unreadable(spark, str(tmp_path)).collect()] == [("b.pcap", 0)]
+
+
 def test_fragments_and_repeats(spark):
     mk = lambda **k: tuple(({"src4": 1, "dst4": 2, "proto": 17, "frag_id": 7, "src_port": 0, "dst_port": 0, "more_frags": False, "frag_offset": 0} | k).get(f.name) for f in pcap.PACKETS)
     rows = [mk(ts_us=9_999_999, src_port=11, dst_port=22, more_frags=True), mk(ts_us=10_000_001, frag_offset=1480), mk(ts_us=1, frag_id=8, frag_offset=8)]
