@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freshet.filterlang.compiler import compile_filter
 from freshet.functions.rates import weight
-from freshet.schema import field
+from freshet.schema import EXTENSION_OF, field
 
 CLASSES = {"tcp": [6], "udp": [17], "icmp": [1, 58]}
 SLOT_MS, DAY_MS = 300_000, 86_400_000
@@ -106,3 +106,25 @@ def sequence_gaps(packets: DataFrame, source: str, sequence: str, count: str, or
     ahead = (gap > 0) & (gap < modulus // 2)
     g = steps.groupBy("_src").agg(F.sum("_k").alias("packets"), F.count_if(gap != 0).alias("failures"), F.coalesce(F.sum(F.when(ahead, gap)), F.lit(0).cast("long")).alias("lost"))
     return g.withColumnRenamed("_src", source)
+
+
+def exporters(df: DataFrame) -> DataFrame:
+    """exporter_id, versions, engines and samplers seen, and flows, packets, bytes, first and last arrival of each exporter."""
+    zero = F.lit(0).cast("long")
+    few = lambda c, n: F.array_sort(F.collect_set(c)).alias(n)
+    return df.groupBy("exporter_id").agg(
+        few(field(df, "nf_version"), "versions"), few(F.struct(field(df, "engine_type").alias("type"), field(df, "engine_id").alias("id")), "engines"), few(field(df, "selector_id"), "samplers"),
+        F.count(F.lit(1)).alias("flows"), F.sum(F.coalesce(field(df, "in_packets"), zero)).alias("packets"), F.sum(F.coalesce(field(df, "in_bytes"), zero)).alias("bytes"), F.min("received_ms").alias("first_received_ms"), F.max("received_ms").alias("last_received_ms"),
+    )
+
+
+def extensions(df: DataFrame) -> DataFrame:
+    """extension, n: records that have each extension (any of its columns), those that none has included."""
+    from functools import reduce
+
+    of: dict[str, list[str]] = {}
+    for c, e in EXTENSION_OF.items():
+        of.setdefault(e, []).extend([c] if c in df.columns else [])
+    counts = {e: F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cs])) if cs else F.lit(0).cast("long") for e, cs in of.items()}
+    one = df.agg(F.count(F.lit(1)).alias("_all"), *[n.alias(e) for e, n in counts.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(e).alias("extension"), F.col(e).alias("n")) for e in counts])).alias("x")).select("x.*")

@@ -89,6 +89,22 @@ def expired(slots: DataFrame, now_ms: int, max_age_ms: int | None = None, max_by
     return x.where(F.col("_old") | full).drop("_old", "_total", "_newer")
 
 
+def slot_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """source, slot_ms, bytes and folder of each slot below a tree that write() or a rotating stream made, by any file system of Spark's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    part = lambda n: F.regexp_extract("path", rf"/{n}=([^/]*)/", 1)
+    x = files.select(part("source").alias("source"), part("slot").alias("slot"), F.regexp_extract("path", r"^(.*/slot=[^/]*)/", 1).alias("folder"), "length").where("slot <> ''")
+    return x.groupBy("source", F.unix_millis(F.to_timestamp("slot", "yyyyMMddHHmm")).alias("slot_ms"), "folder").agg(F.sum("length").alias("bytes")).select("source", "slot_ms", "bytes", "folder")
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders, by any file system of Spark's."""
+    jvm = spark._jvm
+    for f in folders:
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def load_config(path: str) -> dict:
     """Settings by tool section; user formats are under `fmt` and `csv`."""
     return tomllib.loads(Path(path).read_text())

@@ -29,16 +29,20 @@ def rotate(stream: DataFrame, path: str, checkpoint: str, every: str | None = "5
     """
 
     def each(df: DataFrame, batch: int) -> None:
-        x = with_partitions(df).withColumn("batch", F.lit(batch))
-        # a repeated batch replaces its own folders only
-        w = x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "slot", "batch")
-        w.parquet(path)
+        x = store(df, path, batch)
         if hook:
             hook(sorted((r[0], r[1]) for r in x.select("source", "slot").distinct().collect()))
 
     return _query(stream, each, checkpoint, every)
 
 
+def store(df: DataFrame, path: str, batch: int) -> DataFrame:
+    """Writes one batch below source=/slot=/batch=; a repeated batch replaces its own folders only. Gives the rows with their folders."""
+    x = with_partitions(df).withColumn("batch", F.lit(batch))
+    x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "slot", "batch").parquet(path)
+    return x
+
+
 def event_time(stream: DataFrame, delay: str = "2 hours", time: str = "received_ms") -> DataFrame:
     """Adds `ts` with a watermark."""
     return stream.withColumn("ts", F.timestamp_millis(F.col(time))).withWatermark("ts", delay)

@@ -104,3 +104,64 @@ def test_collector(spark, tmp_path):
         s.sendto(b"x", ("127.0.0.1", c.port))
         time.sleep(0.5)
     assert not list((tmp_path / "other").iterdir())
+
+
+def test_more_options(spark, tree, tmp_path, capsys):
+    said = lambda *args: (run(spark, list(args)), capsys.readouterr().out)[1]
+    (tmp_path / "f").write_text("proto tcp or proto udp # both")
+    (tmp_path / "c.toml").write_text("[fmt]\nmine = '%sa %pkt'\n")
+    assert said("-Z", "proto tcp").strip() == "OK" and "port" in said("-X", "port 80")
+    with pytest.raises(ValueError):
+        run(spark, ["-Z", "no filter"])
+    n = spark.read.parquet(tree).where("proto in (6, 17)").count()
+    weight = spark.read.parquet(tree).where("proto in (6, 17)").selectExpr("sum(coalesce(nullif(cnt_flows, 0), 1))").first()[0]
+    out = said("-r", tree, "-f", str(tmp_path / "f"), "-o", "line").strip().splitlines()
+    assert len(out) == n + 2 and f"total flows: {weight}," in out[-1]
+    assert len(said("-r", tree, "-q", "-o", "mine", "-C", str(tmp_path / "c.toml"), "-c", "3").strip().splitlines()) == 3
+    import json
+
+    assert len(json.loads(said("-r", tree, "-o", "json", "-c", "3"))) == 3
+    assert said("-r", tree, "-s", "record/bytes/packets", "-n", "2").count("Top 2 flows") == 2
+    assert len(said("-r", tree, "-E").strip().splitlines()) == spark.read.parquet(tree).select("exporter_id").distinct().count()
+    assert f"generic,{spark.read.parquet(tree).where('in_packets is not null or first_ms is not null or proto is not null').count()}" in said("-r", tree, "-x")
+    first = [x.split()[1] for x in said("-r", tree, "-m", "-q", "first seen > 2024").strip().splitlines()]
+    assert first == sorted(first)
+    run(spark, ["-r", tree, "-w", str(tmp_path / "ff"), "-z", "bz2", "proto udp"])
+    one = str(next(p for p in (tmp_path / "ff").iterdir() if p.name.startswith("part-")))
+    assert "corrupt_blocks: 0" in said("-r", one, "-v")
+    run(spark, ["-r", one, "-i", "other", "-J", "zstd", "-w", str(tmp_path / "again")])
+    assert flowfile.load(spark, str(tmp_path / "again")).select("ident").distinct().first()[0] == "other"
+    assert flowfile.load(spark, str(tmp_path / "ff")).count() == spark.read.parquet(tree).where("proto = 17").count()
+    with pytest.raises(ValueError):
+        run(spark, ["-r", tree, "geo SE"])
+
+
+def test_commands(spark, tree, tmp_path, capsys):
+    from freshet import tools
+    from freshet.sources import files, udp as collector
+
+    call = lambda *args: (tools.run(spark, [str(x) for x in args]), capsys.readouterr().out)[1]
+    (tmp_path / "caps").mkdir()
+    (tmp_path / "caps" / "a.pcap").write_bytes(capture([(5_000_000 + 500_000 * i, ether(ip4(udp(1000, 2000, b"x"), 17))) for i in range(3)]))
+    call("capture", tmp_path / "caps", tmp_path / "made")
+    assert [(r.in_packets, r.src_port, r.source) for r in spark.read.parquet(str(tmp_path / "made")).collect()] == [(3, 1000, "capture")]
+    files.write(spark.read.parquet(tree), str(tmp_path / "t"))
+    key = "abcdefghijklmnopqrstuvwxyz012345"
+    call("anonymise", tmp_path / "t", tmp_path / "hidden", key)
+    assert spark.read.parquet(str(tmp_path / "hidden")).count() == spark.read.parquet(tree).count()
+    assert "80" in call("track", tmp_path / "t", "-n", "3") and "web" in call("profile", tmp_path / "t", "web=port 443", "all=any")
+    old = call("expire", tmp_path / "t", "--max-age-hours", "1", "--now-ms", "1709258400000", "--remove").strip().splitlines()
+    assert len(old) > 1 and call("expire", tmp_path / "t", "--max-age-hours", "1", "--now-ms", "1709258400000").strip().count("\n") == 0
+    (tmp_path / "b.csv").write_text("network,geoname_id,registered_country_geoname_id,latitude,longitude,accuracy_radius\n10.0.0.0/8,7,7,1.5,2.5,10\n")
+    (tmp_path / "l.csv").write_text("geoname_id,continent_code,country_iso_code,city_name\n7,EU,SE,Town\n")
+    (tmp_path / "x.txt").write_text("ExitNode 00\nExitAddress 10.1.2.3 2024-03-01 00:00:00\n")
+    call("import-geo", tmp_path / "b.csv", "blocks4", tmp_path / "geo"), call("import-geo", tmp_path / "l.csv", "locations", tmp_path / "geo"), call("import-exits", tmp_path / "x.txt", tmp_path / "exits")
+    assert call("lookup", "10.1.2.3", "11.0.0.1", "-G", tmp_path / "geo", "-H", tmp_path / "exits").splitlines()[1].startswith("10.1.2.3,SE,")
+    run(spark, ["-r", tree, "-G", str(tmp_path / "geo"), "-s", "srcgeo/bytes", "src geo SE"])
+    assert ",SE," in capsys.readouterr().out
+    import threading
+
+    (tmp_path / "spool").mkdir()
+    threading.Timer(12, lambda: call("replay", tree, "--port", "19997", "--filter", "proto tcp and ipv4")).start()
+    call("collect", tmp_path / "spool", tmp_path / "got", tmp_path / "cp", "--port", "19997", "--host", "127.0.0.1", "--seconds", "30", "--every", "5 seconds")
+    assert isinstance(collector.SPOOL.names, list) and spark.read.parquet(str(tmp_path / "got")).where("proto = 6").count() > 0
