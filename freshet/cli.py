@@ -203,10 +203,11 @@ def main(argv: list[str] | None = None) -> None:
     import sys
 
     from freshet import tools
+    from freshet.session import configured
 
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.appName("freshet").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = configured(SparkSession.builder).appName("freshet").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     argv = sys.argv[1:] if argv is None else argv
     (tools.run if argv and argv[0] in tools.COMMANDS else run)(spark, argv)
