@@ -131,6 +131,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_assign(spark, d), table(spark, d, "containers"), "container_class", "capacity_tokens")
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: each class has all documents with all their tokens, in as many parts as they need, and no container
+    holds more than its capacity."""
+    assigned = p8_assign(spark, d)
+    per = assigned.groupBy("container_class", "container_id").agg(F.count_if(F.col("part") == 0).alias("n_items"), F.count(F.lit(1)).alias("n_parts"), F.sum("size").alias("tokens"))
+    caps = table(spark, d, "containers").select("container_class", "capacity_tokens")  # a short fixed list
+    x = per.join(F.broadcast(caps), "container_class").groupBy("container_class")
+    return x.agg(F.sum("n_items").alias("n_items"), F.sum("n_parts").alias("n_parts"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("n_overfull"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose parts lie in more than one container: those that alone exceed the capacity."""
     lies = p8_assign(spark, d).groupBy("container_class", "doc_id").agg(F.count_distinct("container_id").alias("n"))
@@ -181,7 +191,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_intervals, p6_found, p6_counts, p8_found, p8_assign, p8_fill, p9_found, p9_spans, p9_cleaned, p10_found, p10_segments, p10_documents)}
+    return {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_intervals, p6_found, p6_counts, p8_found, p8_assign, p8_fill, p8_totals, p9_found, p9_spans, p9_cleaned, p10_found, p10_segments, p10_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -192,5 +202,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": "select 'srcaddr' kind, srcaddr item from v1_records where srcaddr is not null group by 2 having 100 * count(*) >= (select count(*) from v1_records) union all select 'dstaddr', dstaddr from v1_records where dstaddr is not null group by 2 having 100 * count(*) >= (select count(*) from v1_records) union all select 'dstaddr_octets', dstaddr from v1_records where dstaddr is not null group by 2 having 100 * sum(doctets) >= (select sum(doctets) from v1_records)",
         "p6_found": f"with r as (select exporter_id, {day.format('received_ms')} rec_day, srcaddr, dstaddr from v1_records where received_ms is not null), b as (select * from r union all select 0, rec_day, srcaddr, dstaddr from r) "
         + " union all ".join(f"select exporter_id, rec_day, '{f}' field from b group by exporter_id, rec_day having count(*) >= {MIN_ROWS} and 2 * count(distinct {f}) >= count(*)" for f in FIELDS),
+        "p8_totals": "select container_class, count(*) n_items, cast(sum((strlen(text) + capacity_tokens) // capacity_tokens) as bigint) n_parts, cast(sum(strlen(text) + 1) as bigint) tokens, cast(0 as bigint) n_overfull from documents, containers where text is not null group by 1",
         "p8_found": "select container_class, doc_id from documents, containers where text is not null and strlen(text) + 1 > capacity_tokens",
     }
