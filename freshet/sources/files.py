@@ -30,16 +30,39 @@ def slot_name(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms - F.pmod(ms, F.lit(SLOT_MS))), "yyyyMMddHHmm")
 
 
+# By number, the levels of folders between a source and its slots. y year, m month, d day, h hour, w week (from Monday, the days
+# before the first one are week 0), u day of the week (Monday is 1), j day of the year, date YYYY-MM-DD.
+LAYOUTS = ("", "y m d", "y m d h", "y w u", "y w u h", "y j", "y j h", "date", "date h")
+
+
+def layout_columns(ms: Column, layout: int) -> dict[str, Column]:
+    """Partition columns of a layout, in order, from a time; in the session's zone."""
+    t = F.timestamp_millis(ms)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    week = F.floor((F.dayofyear(t) + 6 - F.weekday(t)) / 7)
+    how = {
+        "y": ("year", F.date_format(t, "yyyy")), "m": ("month", F.date_format(t, "MM")), "d": ("day", F.date_format(t, "dd")), "h": ("hour", F.date_format(t, "HH")), "w": ("week", two(week)),
+        "u": ("weekday", (F.weekday(t) + 1).cast("string")), "j": ("yearday", F.lpad(F.dayofyear(t).cast("string"), 3, "0")), "date": ("date", F.date_format(t, "yyyy-MM-dd")),
+    }
+    return dict(how[x] for x in LAYOUTS[layout].split())
+
+
 def with_partitions(flows: DataFrame) -> DataFrame:
     """Adds `source` (the ident, `none` if it has none) and `slot` (of arrival; the record's end where that is missing)."""
-    t = F.coalesce(F.nullif(F.col("received_ms"), F.lit(0)), F.nullif(F.col("last_ms"), F.lit(0)), F.lit(0))
-    return flows.withColumns({"source": F.coalesce(F.nullif(F.col("ident"), F.lit("")), F.lit("none")), "slot": slot_name(t)})
+    return flows.withColumns({"source": F.coalesce(F.nullif(F.col("ident"), F.lit("")), F.lit("none")), "slot": slot_name(arrival(flows))})
+
+
+def arrival(flows: DataFrame) -> Column:
+    return F.coalesce(F.nullif(F.col("received_ms"), F.lit(0)), F.nullif(F.col("last_ms"), F.lit(0)), F.lit(0))
 
 
-def write(flows: DataFrame, path: str, mode: str = "append", compression: str = "zstd") -> None:
-    """Parquet below source=/slot=. Rows are spread over a few files per slot, so a large source is written by many tasks."""
+def write(flows: DataFrame, path: str, mode: str = "append", compression: str = "zstd", layout: int = 0) -> None:
+    """Parquet below source=/slot=, with the folders of a layout of LAYOUTS between the two. Rows are spread over a few files per slot, so a
+    large source is written by many tasks. read() finds the slots of any layout."""
     x = with_partitions(flows)
-    x.repartition("source", "slot", F.pmod(F.xxhash64("rec_no"), F.lit(8))).write.mode(mode).option("compression", compression).partitionBy("source", "slot").parquet(path)
+    between = layout_columns(arrival(flows), layout)
+    x = x.withColumns(between) if between else x
+    x.repartition("source", "slot", F.pmod(F.xxhash64("rec_no"), F.lit(8))).write.mode(mode).option("compression", compression).partitionBy("source", *between, "slot").parquet(path)
 
 
 def read(spark: SparkSession, path: str, slots: str | None = None, sources: list[str] | None = None, window: tuple[int, int] | None = None) -> DataFrame:

@@ -24,9 +24,12 @@ _ARROW = pa.schema([("exporter_id", pa.int32()), ("sender", pa.string()), ("rece
 
 
 class Collector:
-    """Listens on one UDP port. `exporters` maps sender addresses (or prefixes) to ids; others get `unknown` or, if that is None, are dropped."""
+    """Listens on one UDP port. `exporters` maps sender addresses (or prefixes) to ids; others get `unknown` or, if that is None, are dropped.
+    Every packet that is kept is also sent on, unchanged, to each (host, port) of `repeat_to`. The spool is a folder that the jobs can read."""
 
-    def __init__(self, spool: str, host: str = "0.0.0.0", port: int = 9995, exporters: dict[str, int] | None = None, unknown: int | None = 0, every_s: float = 5.0, max_packets: int = 50_000) -> None:
+    def __init__(self, spool: str, host: str = "0.0.0.0", port: int = 9995, exporters: dict[str, int] | None = None, unknown: int | None = 0, every_s: float = 5.0, max_packets: int = 50_000, repeat_to: list[tuple[str, int]] | None = None) -> None:
+        self.repeat_to = [socket.getaddrinfo(h, p, type=socket.SOCK_DGRAM)[0] for h, p in repeat_to or []]
+        self.senders = {f: socket.socket(f, socket.SOCK_DGRAM) for f in {x[0] for x in self.repeat_to}}
         self.spool, self.every, self.most, self.unknown = Path(spool), every_s, max_packets, unknown
         self.spool.mkdir(parents=True, exist_ok=True)
         nets = [(ipaddress.ip_network(k, strict=False), v) for k, v in (exporters or {}).items()]
@@ -64,13 +67,16 @@ class Collector:
                 e = self.exporter(address[0])
                 if e is not None:
                     self.held.append((e, address[0], int(time.time() * 1000), data))
+                    for to in self.repeat_to:
+                        self.senders[to[0]].sendto(data, to[4])
             except TimeoutError:
                 pass
             if time.monotonic() >= due or len(self.held) >= self.most:
                 self.flush()
                 due = time.monotonic() + self.every
         self.flush()
-        self.socket.close()
+        for s in (self.socket, *self.senders.values()):
+            s.close()
 
     def __enter__(self) -> Collector:
         self.thread = threading.Thread(target=self.run, daemon=True)

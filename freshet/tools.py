@@ -15,7 +15,7 @@ def arguments() -> argparse.ArgumentParser:
         return sub.add_parser(name, help=text).add_argument
 
     a = command("collect", "receive exporter packets over UDP and store the flows by source and slot")
-    a("spool"), a("path"), a("checkpoint"), a("--port", type=int, default=9995), a("--host", default="0.0.0.0"), a("--sflow", action="store_true"), a("--seconds", type=float, help="stop after so long"), a("--every", default="5 minutes")
+    a("spool"), a("path"), a("checkpoint"), a("--port", type=int, default=9995), a("--host", default="0.0.0.0"), a("--sflow", action="store_true"), a("--seconds", type=float, help="stop after so long"), a("--every", default="5 minutes"), a("--repeat-to", nargs="*", default=[], metavar="HOST:PORT", help="send every packet on")
     a = command("capture", "make flows of capture files")
     a("captures"), a("path"), a("--active", type=int, default=300), a("--inactive", type=int, default=60), a("--ident", default="capture")
     a = command("anonymise", "anonymise the addresses of a tree of flows")
@@ -59,7 +59,8 @@ def _collect(spark, o) -> None:
     from freshet.sources import udp
     from freshet.streaming.jobs import store
 
-    with udp.Collector(o.spool, o.host, o.port):
+    to = [(h, int(p)) for h, _, p in (x.rpartition(":") for x in o.repeat_to)]
+    with udp.Collector(o.spool, o.host, o.port, repeat_to=to):
         query = udp.decoded(udp.stream(spark, o.spool), o.sflow)(lambda df, batch: store(df, o.path, batch), o.checkpoint, o.every)
         query.awaitTermination(o.seconds) if o.seconds else query.awaitTermination()
         query.stop()

@@ -269,3 +269,38 @@ def test_geo_and_exit_lists(spark, tmp_path):
     assert list(map(tuple, files.read_tor(spark, str(tmp_path / "tor")).collect())) == [(0x0A000001, 1704164645)]
     (tmp_path / "c.toml").write_text('[dump]\nworkers = 4\n[fmt]\nmine = "%ts %line"\n')
     assert files.load_config(str(tmp_path / "c.toml"))["fmt"]["mine"] == "%ts %line"
+
+
+@pytest.mark.parametrize("layout", range(9))
+def test_layouts(spark, sf, tmp_path, layout):
+    """Every layout of folders against strftime; slots are found in all of them."""
+    from datetime import datetime, timezone
+
+    f = spark.read.parquet(f"{sf}/flows.parquet").where("received_ms % 40 = 0 and ident = 'core-a'").limit(20)
+    rows = f.select("received_ms", "last_ms").collect()
+    files.write(f, str(tmp_path / "t"), layout=layout)
+    want = set()
+    for r in rows:
+        ms = (r.received_ms or r.last_ms or 0) // 1000
+        parts = ["", "%Y/%m/%d", "%Y/%m/%d/%H", "%Y/%W/%u", "%Y/%W/%u/%H", "%Y/%j", "%Y/%j/%H", "%F", "%F/%H"][layout]
+        want.add(datetime.fromtimestamp(ms, timezone.utc).strftime(parts) if parts else "")
+    folders = {p.parent.parent.relative_to(tmp_path / "t" / "source=core-a") for p in (tmp_path / "t").rglob("*.parquet")}
+    assert {"/".join(x.partition("=")[2] for x in p.parts) for p in folders} == want
+    back = files.read(spark, str(tmp_path / "t"), slots="202403010000:")
+    assert back.count() == sum((r.received_ms or r.last_ms or 0) >= 1709251200000 for r in rows)
+
+
+def test_packets_are_sent_on(tmp_path):
+    import socket
+    import time
+
+    from freshet.sources import udp as collector
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as sink, socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+        sink.bind(("127.0.0.1", 0))
+        sink.settimeout(5)
+        with collector.Collector(str(tmp_path), "127.0.0.1", 0, every_s=0.2, repeat_to=[("127.0.0.1", sink.getsockname()[1])]) as c:
+            out.sendto(b"flow", ("127.0.0.1", c.port))
+            assert sink.recv(100) == b"flow"
+            time.sleep(0.5)
+    assert list(tmp_path.glob("*.parquet"))
