@@ -70,6 +70,24 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def placed_at(text: str, need: Iterable[int]) -> dict[int, tuple[int, int]]:
+    """Part of the text that the words of these numbers come from. Line breaks separate words, so only lines that hold one are gone through
+    character by character."""
+    out, left = {}, sorted(set(need), reverse=True)
+    base = at = 0
+    for line in text.split("\n"):
+        if not left:
+            break
+        n = len(words(line))
+        if left[-1] < base + n:
+            place = placed_words(line)
+            while left and left[-1] < base + n:
+                _, s, e = place[left[-1] - base]
+                out[left.pop()] = (s + at, e + at)
+        base, at = base + n, at + len(line) + 1
+    return out
+
+
 def hashes(ids: np.ndarray, n: int) -> np.ndarray:
     """Hash of each window of n numbers (wrapping arithmetic); len(ids) - n + 1 values."""
     m = len(ids) - n + 1
@@ -148,12 +166,13 @@ def _windows(test: TestSet, texts: list[str | None]) -> Iterator[tuple[np.ndarra
 
 def _spans_of_text(text: str, item: np.ndarray, w: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     """(item, start, end) in characters. Windows of an item that overlap or touch are one span."""
-    place, out = placed_words(text), []
+    runs = []
     for i in np.unique(item):
         at = np.unique(w[item == i])
         new = np.flatnonzero(np.diff(at, prepend=-(10**9)) > n)
-        out += [(int(i), place[s][1], place[e][2]) for s, e in zip(at[new], at[np.append(new[1:], len(at)) - 1] + n - 1)]
-    return out
+        runs += [(int(i), int(s), int(e)) for s, e in zip(at[new], at[np.append(new[1:], len(at)) - 1] + n - 1)]
+    place = placed_at(text, (x for _, s, e in runs for x in (s, e)))
+    return [(i, place[s][0], place[e][1]) for i, s, e in runs]
 
 
 def _by_row(row: np.ndarray, item: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -233,10 +252,10 @@ def _text_grams(n: int, bloom: np.ndarray | None, placed: bool):
                     at = np.flatnonzero(bloom[word] & mask == mask)
                 if not len(at):
                     continue
-                place = placed_words(t) if placed else None
+                place = placed_at(t, (int(i) for x in (at, at + n - 1) for i in x)) if placed else None
                 for x in np.split(at, range(10_000, len(at), 10_000)):
-                    start = [place[i][1] for i in x] if place else [None] * len(x)
-                    end = [place[i + n - 1][2] for i in x] if place else [None] * len(x)
+                    start = [place[int(i)][0] for i in x] if place else [None] * len(x)
+                    end = [place[int(i) + n - 1][1] for i in x] if place else [None] * len(x)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(([k] * len(x), [version] * len(x), x, start, end, h[x].view(np.int64), [" ".join(ws[i : i + n]) for i in x]), target)],
                         schema=target,

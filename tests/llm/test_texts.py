@@ -92,6 +92,12 @@ def test_words_in_place():
         assert [w for w, _, _ in leaks.placed_words(t)] == leaks.words(t)
 
 
+def test_some_words_in_place():
+    text = "\n".join([PASSAGE, "", unicodedata.normalize("NFD", "Żółć über\u200ball"), "plain line", "\u0301x á", "ﬁne ½ cup"])
+    every = leaks.placed_words(text)
+    assert leaks.placed_at(text, range(len(every))) == {i: x[1:] for i, x in enumerate(every)} and leaks.placed_at(text, []) == {}
+
+
 WORDS = {
     "en": "the and with harbour office bridge behind mill who has seen every chair because road closed", "de": "der die das und mit hinter mühle brücke schmale wer hat gesehen jeden stuhl weil straße gesperrt", "ru": "и в на мост за мельницей кто видел каждый стул потому что дорога закрыта была",
     "uk": "і в на міст за млином хто бачив кожен стілець тому що дорога закрита була її", "fr": "le la les et pont étroit derrière moulin qui a vu chaque chaise parce route fermée", "es": "el la los y puente estrecho detrás del molino quién ha visto cada silla porque camino cerrado",
