@@ -752,6 +752,28 @@ def decode_names(packets: DataFrame) -> DataFrame:
 
     x = packets.select("exporter_id", "received_ms", "payload", F.hex(_domain(F.col("payload"))).alias("d")).where("payload is not null")
 
+    def option_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for e, p, d in zip(*(b.column(n).to_pylist() for n in ("exporter_id", "payload", "d"))):
+                if _set_ids(p) & {1, 3}:
+                    decoder = TemplateDecoder()
+                    decoder.packet(p)
+                    out += [(e, d, i) for i, (options, _) in decoder.templates.items() if options]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int32()))], names=["exporter_id", "d", "id"])
+
+    # Of a stream's packets only those go on that define or hold option records: few, however many flows the exporter sends.
+    streams = x.mapInArrow(option_ids, "exporter_id int, d string, id int").groupBy("exporter_id", "d").agg(F.collect_set("id").alias("ids"))
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [bool(_set_ids(p) & {1, 3, *ids}) for p, ids in zip(b.column("payload").to_pylist(), b.column("ids").to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_())).drop_columns(["ids"])
+
+    # a row for each exporter and domain that sends options, whatever the number of packets
+    x = x.alias("x").join(F.broadcast(streams).alias("s"), _same_stream("x", "s")).select("x.*", "s.ids").mapInArrow(telling, x.schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, decoder = None, Names()
         for b in batches:
