@@ -232,7 +232,7 @@ class Lookups:
             if t is not None and f"{side}{family}" in df.columns:
                 new.append(f"_{what}{family}")
                 got = longest_prefix(got, f"{side}{family}", t, {place: new[-1]}, family)
-        value = F.coalesce(*[F.col(n) for n in new]) if new else F.lit(None)
+        value = F.coalesce(*[F.col(n) for n in new]) if new else F.lit(None).cast("string")
         if what == "as":
             value = F.coalesce(F.nullif(field(df, column), F.lit(0)), value.cast("long"), F.lit(0))
         elif what == "geo":
